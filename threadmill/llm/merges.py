@@ -15,14 +15,25 @@ NONE = np.iinfo(np.int32).max
 
 
 class PairTable:
-    """Ranks of symbol pairs; a rank names the symbol that its pairs become."""
+    """Ranks of symbol pairs and the symbols they become; pairs of equal rank go leftmost first."""
 
     def __init__(self, first: np.ndarray, second: np.ndarray, rank: np.ndarray, result: np.ndarray):
         self.base = int(max(first.max(initial=0), second.max(initial=0))) + 2
         keys = first.astype(np.int64) * self.base + second
         order = np.argsort(keys, kind="stable")
-        self.keys, self.ranks = keys[order], rank[order].astype(np.int32)
-        self.result = result
+        self.keys, self.ranks, self.results = keys[order], rank[order].astype(np.int32), result[order].astype(np.int32)
+        # most ranks name one symbol; the others are looked up by their pair
+        low, high = (np.full(int(rank.max(initial=0)) + 1, x, np.int32) for x in (NONE, -1))
+        np.minimum.at(low, rank, result)
+        np.maximum.at(high, rank, result)
+        self.named = np.where(low == high, low, -1)
+
+    def becomes(self, first: np.ndarray, second: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        out = self.named[rank]
+        if (odd := out < 0).any():
+            keys = first[odd].astype(np.int64) * self.base + second[odd]
+            out[odd] = self.results[np.searchsorted(self.keys, keys)]
+        return out
 
     def rank(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
         keys = first.astype(np.int64) * self.base + second
@@ -67,9 +78,10 @@ class PairTable:
             row = np.arange(len(place))
             shift = np.minimum(columns + (columns > at[:, None]), width - 1)
             tail = shift[:, -1] == width - 1
+            merged = self.becomes(symbols[row, at], symbols[row, np.minimum(at + 1, width - 1)], best)
             symbols = np.take_along_axis(symbols, shift, 1)
             symbols[tail, -1] = -1
-            symbols[row, at] = self.result[best]
+            symbols[row, at] = merged
             ranks = np.take_along_axis(ranks, np.minimum(columns + (columns >= at[:, None]), width - 1), 1)
             ranks[:, -1] = NONE
             ranks[row, at] = np.where(
