@@ -60,3 +60,18 @@ def per_batch(
 def utf8(column: pa.Array) -> list[bytes]:
     """Texts of an Arrow string column as UTF-8; null reads as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int) -> DataFrame:
+    """doc_id, label and text of about ``bound`` ids at most, picked by a hash; ids held out are never among them.
+
+    Of several texts of one id the least is taken.
+    """
+    usable = labels.where(~held_out() & F.col(label).isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id"), label)
+    rows = usable.count()
+    if rows > bound:
+        usable = usable.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) < int(bound / rows * (1 << 30)))
+    usable = usable.groupBy("doc_id").agg(F.max(label).alias("label"))
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    # the broadcast side holds no more ids than the bound
+    return text.join(F.broadcast(usable), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))

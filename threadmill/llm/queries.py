@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, pieces, simhash
+from . import packing, pieces, quality, simhash, toxicity
 from .common import table
 
 
@@ -22,6 +22,12 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    net = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.score(spark, docs, net)
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), with_ids=False)
     return pieces.drop("ids")
@@ -43,8 +49,20 @@ def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(spark, docs, model)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_packing": op4_packing, "op5_simhash": op5_simhash, "op6_pieces": op6_pieces}
+    return {
+        "op1_quality": op1_quality,
+        "op4_packing": op4_packing,
+        "op5_simhash": op5_simhash,
+        "op6_pieces": op6_pieces,
+        "op10_toxicity": op10_toxicity,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
