@@ -8,10 +8,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, packing, pieces, quality, simhash, toxicity
+from . import linededup, packing, pieces, quality, simhash, topk, toxicity, vptree
 from .common import table
 
 
+#: Relaxes the pruning of the vantage-point search; one is exact.
+VPTREE_FACTOR = 1.3
+
+
 def tokenizer_path(name: str) -> str:
     """Place of a public vocabulary file; TOKENIZER_DIR overrides the installed folder."""
     folder = os.environ.get("TOKENIZER_DIR")
@@ -28,6 +32,11 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(spark, docs, net)
 
 
+def op2_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return vptree.nearest(vectors, vectors.where("vec_id % 100 = 0"), k=10, factor=VPTREE_FACTOR)
+
+
 def op3_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -53,6 +62,11 @@ def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.search(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -62,10 +76,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
+        "op2_vptree": op2_vptree,
         "op3_linededup": op3_linededup,
         "op4_packing": op4_packing,
         "op5_simhash": op5_simhash,
         "op6_pieces": op6_pieces,
+        "op8_topk": op8_topk,
         "op10_toxicity": op10_toxicity,
     }
 
