@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, packing, pieces, quality, simhash, topk, toxicity, vptree
+from . import chat, linededup, packing, pieces, quality, simhash, topk, toxicity, urlgraph, vptree
 from .common import table
 
 
@@ -16,6 +16,17 @@ from .common import table
 VPTREE_FACTOR = 1.3
 
 
+# The rules of the query on pages.
+URL_RULES = [
+    urlgraph.Rule("com", "/en/", "block"),
+    urlgraph.Rule("example.com", "/en/7", "allow"),
+    urlgraph.Rule("net", "/de/", "allow"),
+    urlgraph.Rule("example.net", "/de/8", "block"),
+    urlgraph.Rule("org", "/es/", "block"),
+]
+URL_SETTINGS = urlgraph.Settings(blocked_labels=("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm"))
+
+
 def tokenizer_path(name: str) -> str:
     """Place of a public vocabulary file; TOKENIZER_DIR overrides the installed folder."""
     folder = os.environ.get("TOKENIZER_DIR")
@@ -62,11 +73,33 @@ def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    talks = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    read = chat.read_back(chat.format_trees(chat.chains(talks.unionByName(extra))))
+    turn = F.transform(F.arrays_zip("roles", "texts"), lambda t: F.concat(t["roles"], F.lit("\n"), t["texts"], F.lit("\n")))
+    learnt = F.array_join("learnt", "")
+    return read.select(
+        "conv_id",
+        F.size("roles").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(turn, ""), 256).alias("turns_sha256"),
+        F.length(learnt).cast("long").alias("loss_chars"),
+        F.sha2(learnt, 256).alias("loss_sha256"),
+        "formatted_chars",
+    )
+
+
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return topk.search(vectors, vectors.where("vec_id % 50 = 0"), k=5)
 
 
+def op9_urlgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = urlgraph.judge(table(spark, sf_dir, "pages").select("page_id", "url", "html"), URL_RULES, URL_SETTINGS)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -81,10 +114,23 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_packing": op4_packing,
         "op5_simhash": op5_simhash,
         "op6_pieces": op6_pieces,
+        "op7_chat": op7_chat,
         "op8_topk": op8_topk,
+        "op9_urlgraph": op9_urlgraph,
         "op10_toxicity": op10_toxicity,
     }
 
 
+#: Floor of 256 x as doubles, every query against every row.
+TOPK_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score FROM v q, v c
+  WHERE q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(q.e) = len(c.e)),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM p)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_topk": TOPK_SQL, "op9_urlgraph": urlgraph.oracle(URL_RULES, URL_SETTINGS)}
