@@ -65,7 +65,8 @@ def utf8(column: pa.Array) -> list[bytes]:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int) -> DataFrame:
     """doc_id, label and text of about ``bound`` ids at most, picked by a hash; ids held out are never among them.
 
-    Of several texts of one id the least is taken.
+    Of several texts of one id the least is taken, and of equal texts one, so
+    that large groups of copies do not outweigh the rest; it has label 1 if any has.
     """
     usable = labels.where(~held_out() & F.col(label).isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id"), label)
     rows = usable.count()
@@ -74,4 +75,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int)
     usable = usable.groupBy("doc_id").agg(F.max(label).alias("label"))
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     # the broadcast side holds no more ids than the bound
-    return text.join(F.broadcast(usable), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    rows = text.join(F.broadcast(usable), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    return rows.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("label").alias("label")).select("doc_id", "label", "text")

@@ -25,7 +25,7 @@ WORD = re.compile(r"[^\W\d_]+")
 #: Words count whole and by their first letters, so that rare forms of a known stem tell, too.
 STEMS = (4, 6)
 #: Examples in one block of the index.
-BLOCK = 64
+BLOCK = 128
 
 
 def terms_of(words: set[str]) -> set[str]:
@@ -38,7 +38,7 @@ class Settings:
     #: Labelled rows that are learnt from at most, about: a hash of doc_id picks them.
     examples: int = 20_000
     #: Terms of the vector space at most; the most telling ones are taken.
-    terms: int = 4096
+    terms: int = 2048
     #: A term must occur in so many examples and be so many times as frequent under one label.
     support: int = 4
     ratio: float = 4.0
@@ -56,11 +56,10 @@ class Index:
     idf: np.ndarray
     labels: np.ndarray
     ids: np.ndarray
-    #: For each term: blocks that hold it and its largest weight in each.
-    blocks: list[np.ndarray] = field(default_factory=list)
-    peaks: list[np.ndarray] = field(default_factory=list)
-    #: For each term and block: positions in the block and weights.
-    postings: list[list[tuple[np.ndarray, np.ndarray]]] = field(default_factory=list)
+    #: For each term and block the largest weight.
+    peaks: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
+    #: For each block: its terms in order, where their postings start, positions and weights.
+    postings: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)
 
     @property
     def block_count(self) -> int:
@@ -73,36 +72,34 @@ class Index:
         return terms, w / np.sqrt((w**2).sum()) if len(w) else w
 
     def fill(self, vectors: list[tuple[list[int], np.ndarray]]) -> None:
-        held: list[list[tuple[int, float]]] = [[] for _ in self.terms]
-        for row, (terms, weights) in enumerate(vectors):
-            for t, w in zip(terms, weights.tolist(), strict=True):
-                held[t].append((row, w))
-        for entries in held:
-            rows = np.array([r for r, _ in entries], np.int64)
-            weights = np.array([w for _, w in entries])
-            at, starts = np.unique(rows // BLOCK, return_index=True)
-            cuts = [*starts.tolist(), len(rows)]
-            self.blocks.append(at)
-            self.postings.append([(rows[a:b] % BLOCK, weights[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
-            self.peaks.append(np.array([weights[a:b].max() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]))
+        self.peaks = np.zeros((len(self.terms), self.block_count))
+        for block in range(self.block_count):
+            some = vectors[block * BLOCK : (block + 1) * BLOCK]
+            terms = np.array([t for ts, _ in some for t in ts], np.int64)
+            place = np.repeat(np.arange(len(some)), [len(ts) for ts, _ in some])
+            weights = np.concatenate([w for _, w in some])
+            order = np.argsort(terms, kind="stable")
+            terms, place, weights = terms[order], place[order], weights[order]
+            names, starts = np.unique(terms, return_index=True)
+            self.peaks[names, block] = np.maximum.reduceat(weights, starts)
+            self.postings.append((names, np.append(starts, len(terms)), place, weights))
 
     def nearest(self, terms: list[int], weights: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Rows and cosines of the k nearest examples with a cosine above zero, ties to the lower row."""
-        bounds = np.zeros(self.block_count)
-        for t, w in zip(terms, weights, strict=True):
-            bounds[self.blocks[t]] += w * self.peaks[t]
-        order = np.argsort(-bounds, kind="stable")
+        asked = np.array(terms, np.int64)
+        bounds = weights @ self.peaks[asked]
         rows, scores, floor = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for block in order.tolist():
+        for block in np.argsort(-bounds, kind="stable").tolist():
             # at equal bounds a lower row may still be waiting, so only a smaller bound ends the walk
             if bounds[block] <= 0 or len(rows) >= k and bounds[block] < floor - 1e-12:
                 break
-            got = np.zeros(BLOCK)
-            for t, w in zip(terms, weights, strict=True):
-                at = np.searchsorted(self.blocks[t], block)
-                if at < len(self.blocks[t]) and self.blocks[t][at] == block:
-                    places, values = self.postings[t][at]
-                    got[places] += w * values
+            names, starts, place, values = self.postings[block]
+            at = np.minimum(np.searchsorted(names, asked), len(names) - 1)
+            found = names[at] == asked
+            low, high = starts[at[found]], starts[at[found] + 1]
+            sizes = high - low
+            picks = np.arange(sizes.sum()) + np.repeat(low - (np.cumsum(sizes) - sizes), sizes)
+            got = np.bincount(place[picks], weights=values[picks] * np.repeat(weights[found], sizes), minlength=BLOCK)
             hit = np.flatnonzero(got > 0)
             new = block * BLOCK + hit
             keep = new != skip
@@ -131,12 +128,18 @@ class Model:
         known = self.index.terms
         words = WORD.findall(text.decode().lower())
         distinct = set(words)
-        out = {known[w]: words.count(w) for w in known.keys() & distinct}
-        for n, stems in self.stems.items():
-            for stem in stems.keys() & {w[:n] for w in distinct}:
-                if times := sum(len(w) > n and w.startswith(stem) for w in words):
-                    out[stems[stem]] = times
-        return out
+        whole = known.keys() & distinct
+        begun = {n: stems.keys() & {w[:n] for w in distinct} for n, stems in self.stems.items()}
+        if not whole and not any(begun.values()):
+            return {}
+        tally = Counter(words)
+        out = Counter({known[w]: tally[w] for w in whole})
+        for n, hits in begun.items():
+            if hits:
+                for w, times in tally.items():
+                    if len(w) > n and w[:n] in hits:
+                        out[self.stems[n][w[:n]]] += times
+        return dict(out)
 
     @property
     def stems(self) -> dict[int, dict[str, int]]:
@@ -251,7 +254,8 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) ->
 
     # bounded: only telling terms of at most ``examples`` rows
     found = per_batch(sample.select("doc_id", F.col("label").cast("int").alias("label"), "text"), examples, "doc_id long, label int, c array<struct<t:int,n:int>>").collect()
-    found.sort(key=lambda r: (r["doc_id"], [tuple(x) for x in r["c"]]))
+    # rows of like terms share blocks, which keeps their bounds low
+    found.sort(key=lambda r: ([tuple(x) for x in r["c"]], r["doc_id"]))
     silent = [r["label"] for r in found if not r["c"]]
     model.silent = (sum(silent) + 0.5) / (len(silent) + 1)
     told = [r for r in found if r["c"]]
@@ -259,14 +263,22 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) ->
     index.ids = np.array([r["doc_id"] for r in told], np.int64)
     vectors = [{x["t"]: x["n"] for x in r["c"]} for r in told]
     index.fill([index.vector(v) for v in vectors])
-    # each example is judged without itself
-    votes, marks = [], []
-    for row, counts in enumerate(vectors):
-        voted = model.vote(counts, skip=row)
-        if voted is not None:
-            votes.append(voted[0])
-            marks.append(int(index.labels[row]))
-    model.knots, model.chances = calibrate(np.array(votes), np.array(marks))
+    sent = spark.sparkContext.broadcast((model, vectors))
+
+    def judged():
+        known, vectors = sent.value
+
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            # each example is judged without itself
+            voted = [(row, known.vote(vectors[row], skip=row)) for row in batch.column(0).to_pylist()]
+            voted = [(v[0], int(known.index.labels[row])) for row, v in voted if v is not None]
+            columns = [pa.array([v for v, _ in voted], pa.float64()), pa.array([m for _, m in voted], pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, names=["vote", "mark"])
+
+        return step
+
+    rows = per_batch(spark.range(len(told)), judged, "vote double, mark long").collect()
+    model.knots, model.chances = calibrate(np.array([r["vote"] for r in rows]), np.array([r["mark"] for r in rows]))
     return model
 
 
