@@ -43,7 +43,9 @@ class Settings:
     examples: int = 20_000
     hidden: int = 32
     epochs: int = 80
+    #: Rows of one step; fewer where there would be under ``steps`` steps an epoch.
     batch: int = 256
+    steps: int = 16
     rate: float = 3e-3
     decay: float = 1e-3
     smoothing: float = 1e-3
@@ -261,11 +263,12 @@ def train(vectors: np.ndarray, s: Settings, x: np.ndarray, y: np.ndarray, aside:
     ]
     moments = [(np.zeros_like(w), np.zeros_like(w)) for w in weights]
     tick = 0
+    size = min(s.batch, max(8, n // s.steps))
     for epoch in range(s.epochs):
         rate = s.rate * 0.5 * (1 + np.cos(np.pi * epoch / s.epochs))
         order = rng.permutation(n)
-        for k in range(0, n, s.batch):
-            rows = order[k : k + s.batch]
+        for k in range(0, n, size):
+            rows = order[k : k + size]
             a, t = data[rows], fitted_y[rows]
             before = a @ weights[0] + weights[1]
             hidden = np.maximum(0, before)
