@@ -10,6 +10,7 @@ formatted conversation gives back the turns exactly.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -92,29 +93,29 @@ def paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     """
     nodes = messages.select("conv_id", "msg_id", "parent_id", F.coalesce("score", F.lit(0.0)).alias("score"))
     ids = nodes.select("conv_id", F.col("msg_id").alias("parent_id"), F.lit(True).alias("there"))
-    up = nodes.join(ids, ["conv_id", "parent_id"], "left").select(
-        "conv_id", "msg_id", F.when(F.col("there"), F.col("parent_id")).alias("above"), F.lit(1).cast("long").alias("steps"), F.col("score").alias("total")
+    sizes = cut(nodes.groupBy("conv_id").agg(F.count("*").alias("size")))
+    up = nodes.join(ids, ["conv_id", "parent_id"], "left").join(sizes, "conv_id").select(
+        "conv_id", "msg_id", "size", F.when(F.col("there"), F.col("parent_id")).alias("above"), F.lit(1).cast("long").alias("steps"), F.col("score").alias("total")
     )
-    steps = [cut(up)]
-    # 2 ** k messages up after k joins; a tree is at most as deep as its conversation is long
-    longest = messages.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0
-    while 1 << (len(steps) - 1) < longest and not steps[-1].where("above IS NOT NULL").isEmpty():
-        now = steps[-1]
+    steps, ended = [cut(up)], []
+    # 2 ** k messages up after k joins; a tree is at most as deep as its conversation is long, so longer ones alone go on
+    longest = sizes.agg(F.max("size")).first()[0] or 0
+    while (reach := 1 << (len(steps) - 1)) < longest and not steps[-1].where("above IS NOT NULL").isEmpty():
+        ended.append(steps[-1].where(F.col("size") <= reach))
+        now = steps[-1].where(F.col("size") > reach)
         far = now.select("conv_id", F.col("msg_id").alias("above"), F.col("above").alias("next"), F.col("steps").alias("more"), F.col("total").alias("add"))
-        joined = now.join(far, ["conv_id", "above"], "left")
-        steps.append(
-            cut(
-                joined.select(
-                    "conv_id",
-                    "msg_id",
-                    F.col("next").alias("above"),
-                    (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"),
-                    (F.col("total") + F.coalesce("add", F.lit(0.0))).alias("total"),
-                )
-            )
+        joined = now.where("above IS NOT NULL").join(far, ["conv_id", "above"]).select(
+            "conv_id",
+            "msg_id",
+            "size",
+            F.col("next").alias("above"),
+            (F.col("steps") + F.col("more")).alias("steps"),
+            (F.col("total") + F.col("add")).alias("total"),
         )
+        steps.append(cut(joined.unionByName(now.where("above IS NULL"))))
+    rooted = reduce(DataFrame.unionByName, [*ended, steps[-1]]).where("above IS NULL")
     parents = nodes.where("parent_id IS NOT NULL").select("conv_id", F.col("parent_id").alias("msg_id")).distinct()
-    leaves = steps[-1].where("above IS NULL").join(parents, ["conv_id", "msg_id"], "left_anti")
+    leaves = rooted.join(parents, ["conv_id", "msg_id"], "left_anti")
     order = Window.partitionBy("conv_id").orderBy((F.col("total") / F.col("steps")).desc(), "msg_id")
     chosen = leaves.withColumn("branch", F.row_number().over(order)).where(F.col("branch") <= branches)
     found = cut(chosen.select("conv_id", F.col("msg_id").alias("leaf"), "branch", "msg_id", F.col("steps").alias("depth")))
