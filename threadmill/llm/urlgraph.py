@@ -77,12 +77,12 @@ def scores(seeds: DataFrame, edges: DataFrame, s: Settings) -> DataFrame:
         edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"))
     )
     degree = both.groupBy("kind", "src").agg(F.count("*").alias("degree"))
-    steps = cut(both.join(degree, ["kind", "src"]))
+    steps = cut(both.join(degree, ["kind", "src"]).withColumnRenamed("kind", "of"))
     ranks = start.select("kind", "host", ((1 - s.damping) * F.col("seed")).alias("rank"))
     if not steps.isEmpty():
         for k in range(s.rounds):
-            moved = ranks.join(steps, (ranks.kind == steps.kind) & (ranks.host == steps.src)).select(
-                steps.kind, F.col("dst").alias("host"), (s.damping * F.col("rank") / F.col("degree")).alias("rank")
+            moved = ranks.join(steps, (F.col("kind") == F.col("of")) & (F.col("host") == F.col("src"))).select(
+                "kind", F.col("dst").alias("host"), (s.damping * F.col("rank") / F.col("degree")).alias("rank")
             )
             back = start.select("kind", "host", ((1 - s.damping) * F.col("seed")).alias("rank"))
             ranks = moved.union(back).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
