@@ -139,8 +139,10 @@ def plain_lines(rows, s):
     return {d: None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[d]) for d, t in rows}
 
 
+@pytest.mark.parametrize("sent", [0, linededup.SENT_LEAVES])
 @pytest.mark.parametrize("keep_first", [True, False])
-def test_lines_equal_brute_force(spark, keep_first):
+def test_lines_equal_brute_force(spark, keep_first, sent, monkeypatch):
+    monkeypatch.setattr(linededup, "SENT_LEAVES", sent)
     rng = random.Random(5)
     fixed = [words(rng, n) for n in (2, 4, 12, 60)]
     rows = []

@@ -20,6 +20,8 @@ from .common import cut
 FIELD = "<*>"
 #: Stands for a missing doc_id; such rows count as one document.
 NO_ID = -(1 << 63)
+#: So many leaves, of eight bytes each, are sent to every task at most; more are joined by a shuffle.
+SENT_LEAVES = 500_000
 
 
 @dataclass
@@ -79,16 +81,18 @@ def recurring(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
     keyed = _keyed(docs, s)
     lines = cut(keyed.select("document", "body", "place", "length", "leaf", "line_hash"))
     ends = (F.min("document").alias("low"), F.max("document").alias("high"))
-    # a leaf that one document reaches alone holds no template: its least and greatest id are the same
-    several = lines.where(F.col("length") >= s.shortest).groupBy("leaf").agg(*ends).where("low < high").select("leaf")
-    tokens = (
-        keyed.where(F.col("length") >= s.shortest)
-        .join(several, "leaf")
-        .select("leaf", "line_hash", "document", "length", F.posexplode("tokens").alias("at", "token"))
-        .select("leaf", "line_hash", "document", "length", F.xxhash64("at", "token").alias("field"))
-    )
-    # copies fold into one row a line and field before they are shuffled
-    fields = cut(tokens.groupBy("leaf", "line_hash", "length", "field").agg(*ends))
+    # a leaf that one document reaches alone holds no template, one with a single line nothing to generalise
+    least, most = F.min("line_hash").alias("least"), F.max("line_hash").alias("most")
+    several = cut(lines.where(F.col("length") >= s.shortest).groupBy("leaf").agg(*ends, least, most).where("low < high AND least < most").select("leaf"))
+    own = ("leaf", "line_hash", "document", "length")
+    hashed = F.transform("tokens", lambda t, i: F.xxhash64(i, t)).alias("fields")
+    if several.count() <= SENT_LEAVES:
+        whole = keyed.join(F.broadcast(several), "leaf").select(*own, hashed)
+    else:
+        whole = keyed.select(*own, hashed).join(several, "leaf")
+    # copies fold into one row a line before they are taken apart
+    distinct = cut(whole.groupBy("leaf", "line_hash", "length").agg(*ends, F.first("fields").alias("fields")))
+    fields = distinct.select("leaf", "line_hash", "length", "low", "high", F.explode("fields").alias("field"))
     shared = fields.groupBy("leaf", "field").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("leaf", "field")
     general = (
         fields.join(shared, ["leaf", "field"])
