@@ -71,6 +71,25 @@ def test_products_are_exact(spark, scale):
     assert topk.search(frame.limit(0), frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("dims", [1, 2, 6])
+def test_products_of_one_strong_negative_coordinate(spark, dims):
+    rng = np.random.default_rng(6)
+    points = np.round(rng.normal(scale=0.3, size=(700, dims)), 2)
+    points[:, 0] = -np.abs(np.round(rng.normal(2, 1, size=700), 2))
+    rows = [(i, [float(x) for x in p], 0) for i, p in enumerate(points)]
+    frame = spark.createDataFrame(rows, VECTORS)
+    got = listed(topk.search(frame, frame.where("vec_id % 20 = 0"), 5))
+    whole = [(i, [int(np.floor(x * 256)) for x in v]) for i, v in usable(rows, True)]
+    assert got == first(whole, [r for r in whole if r[0] % 20 == 0], 5, lambda a, b: sum(x * y for x, y in zip(a, b)), True)
+
+
+def test_coordinate_bounds_at_the_negative_pole():
+    points = np.array([[-256.0, 0.0], [-180.0, -182.0], [-180.0, 182.0]])
+    query, own, ids = np.array([[-256.0, 0.0]]), np.array([9]), np.arange(3)
+    _, names, scores = topk.bucket_top(ids, points, own, query, np.array([46080.0]), 3)
+    assert dict(zip(names.tolist(), scores.tolist())) == {0: 65536, 1: 46080, 2: 46080}
+
+
 # Reply trees
 
 MESSAGES = "conv_id long, msg_id long, parent_id long, role string, text string, score double"

@@ -85,7 +85,8 @@ def bucket_top(ids: np.ndarray, points: np.ndarray, own: np.ndarray, queries: np
             y = unit_p[:, focus[who, f]].T
             reach = np.sqrt(np.maximum(0, 1 - c**2) * np.maximum(0, 1 - x**2)) + 1e-9
             # below the longest a row needs a higher cosine still, so the bucket's own threshold is safe
-            able[sharp] &= (y >= x * c - reach) | (x * c - reach <= -1)
+            # an angle wide enough to reach the coordinate's pole leaves that side free
+            able[sharp] &= (y >= x * c - reach) | (x <= -c)
             able[sharp] &= (y <= x * c + reach) | (x >= c)
         columns = np.flatnonzero(able.any(axis=0))
         if not len(columns):
