@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from threadmill.llm import linededup, quality, simhash, toxicity
+from threadmill.llm import linededup, neardup, quality, simhash, toxicity
 from threadmill.llm.common import held_out
 from threadmill.llm.components import components
 
@@ -106,6 +106,50 @@ def test_rows_without_id_or_rows(spark):
     assert simhash.groups(docs(spark, [])).count() == 0
 
 
+# Near copies
+
+
+def test_near_copies_equal_brute_force(spark):
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    texts = []
+    for group, copies in enumerate([3] * 20 + [40]):
+        base = words(rng, 150).split()
+        for _ in range(copies):
+            copy = list(base)
+            for at in rng.sample(range(len(copy)), rng.randint(0, 4)):
+                copy[at] = words(rng, 1)
+            texts.append(" ".join(copy))
+    texts += ["", None, "  ", "one two", "One  two", "one three", texts[0].upper()]
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    parent = list(range(len(sets)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    apart = 0
+    prints = [plain_fingerprint(t, 5) for t in texts]
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 5 * len(a & b) >= 4 * len(a | b):
+                apart += (prints[i] ^ prints[j]).bit_count() > 4
+                x, y = find(i), find(j)
+                parent[max(x, y)] = min(x, y)
+    assert apart > 50
+    want = sorted({find(i) for i in range(len(sets))})
+    got = corpus_pipeline.distinct(spark, docs(spark, enumerate(texts)), "")
+    assert sorted(r["doc_id"] for r in got.collect()) == want
+    rows = [(None, "a b c d e"), (3, "a b c d e"), (3, "a b c d e"), (2, "q w e r t y")]
+    assert sorted((r["doc_id"] or -1) for r in neardup.keep_one(docs(spark, rows)).collect()) == [-1, 2, 3]
+    assert neardup.keep_one(docs(spark, [])).count() == 0
+
+
 # Lines
 
 

@@ -30,18 +30,25 @@ HELD_ROWS = 1_000_000
 REFERENCES = 16
 
 
-def fingerprint(text: bytes, width: int) -> bytes:
-    """Eight bytes: each bit is the majority over the hashes of the text's shingles."""
+def shingle_hashes(text: bytes, width: int) -> bytes:
+    """Hashes of the text's shingles, eight bytes each; none without words."""
     words = text.lower().split()
     if not words:
-        return bytes(8)
+        return b""
     joined = b" ".join(words)
     digest = xxhash.xxh64_digest
     if len(words) <= width:
         return digest(joined, SEED)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = [0, *(ends[: len(words) - width] + 1).tolist()]
-    hashes = b"".join([digest(joined[a:b], SEED) for a, b in zip(starts, ends[width - 1 :].tolist(), strict=True)])
+    return b"".join([digest(joined[a:b], SEED) for a, b in zip(starts, ends[width - 1 :].tolist(), strict=True)])
+
+
+def fingerprint(text: bytes, width: int) -> bytes:
+    """Eight bytes: each bit is the majority over the hashes of the text's shingles."""
+    hashes = shingle_hashes(text, width)
+    if len(hashes) <= 8:
+        return hashes or bytes(8)
     bits = np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, 8), axis=1)
     return np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(bits)).tobytes()
 
