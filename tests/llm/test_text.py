@@ -211,6 +211,16 @@ def test_lines_of_odd_tables(spark):
     assert linededup.dedup(docs(spark, [])).count() == 0
 
 
+def test_rows_of_numbers_are_no_template(spark):
+    import corpus_pipeline
+
+    table = ["12.5 13.7 14.2 15.0 16.1", "1 2 3 4 5", "mean 1 2 3 4 5 6", "mean 7 8 9 1 2 3"]
+    rows = [(i, "\n".join([line, f"page {i} of the printed report of this year"])) for i, line in enumerate(table)]
+    rows += [(9, "another text\n" + table[0])]
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.without_lines(spark, docs(spark, rows), "").collect()}
+    assert got == {0: rows[0][1], 1: table[1], 2: table[2], 3: table[3], 9: "another text"}
+
+
 # Classifiers
 
 

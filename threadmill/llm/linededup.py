@@ -1,7 +1,8 @@
 """Line dedup by a log-template tree of fixed depth, as DataFrame operations.
 
 A line's first level is its number of tokens, the next levels are its leading
-tokens; tokens with digits are variable fields from the start. Only leaves
+tokens; tokens with digits are variable fields from the start unless they make
+up much of the line, as in rows of a table. Only leaves
 that several documents reach can hold a recurring template, and only their
 lines are taken apart. There, a token that no two documents share at its place
 is a variable field, as long as most of the line stays fixed. Templates that
@@ -32,6 +33,8 @@ class Settings:
     shortest: int = 10
     #: Share of a line's tokens that must stay fixed once it has variable fields.
     fixed: float = 0.8
+    #: Share of a line's tokens that must be free of digits for the others to be masked; rows of data stay as they are.
+    worded: float = 0.75
     #: A line of fewer than ``brief`` tokens must occur so many times: such lines also meet by chance.
     brief: int = 5
     brief_times: int = 10
@@ -57,7 +60,15 @@ def _keyed(docs: DataFrame, s: Settings) -> DataFrame:
     lines = docs.select(_document().alias("document"), _body().alias("body"), F.posexplode(F.split("text", "\n")).alias("place", "line"))
     return (
         lines.where(F.col("line").rlike(r"\S"))
-        .select("document", "body", "place", _tokens(masked).alias("tokens"))
+        .select("document", "body", "place", "line", _tokens(masked).alias("masked"))
+        .select(
+            "document",
+            "body",
+            "place",
+            F.when(F.size(F.filter("masked", lambda t: t != FIELD)) >= s.worded * F.size("masked"), F.col("masked"))
+            .otherwise(_tokens(F.col("line")))
+            .alias("tokens"),
+        )
         .select(
             "document",
             "body",
