@@ -211,6 +211,18 @@ def test_lines_of_odd_tables(spark):
     assert linededup.dedup(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("size", [10, 1000, 100_000])
+def test_worded_fields_at_any_size(spark, size):
+    rng = random.Random(size)
+    people, places = (["".join(rng.choices("abcdefghij", k=9)) for _ in range(500)] for _ in range(2))
+    line = "this notice was sent to the reader {} by our office in {} today".format
+    rows = [(i, line(rng.choice(people), rng.choice(places))) for i in range(size)]
+    # copies of one document do not make its values fixed
+    rows += [(size + i, rows[0][1]) for i in range(min(size, 1000))] if size > 10 else []
+    cleaned = linededup.dedup(docs(spark, rows))
+    assert cleaned.where("n_dropped = 0").count() <= max(2, size // 100)
+
+
 def test_rows_of_numbers_are_no_template(spark):
     import corpus_pipeline
 

@@ -4,9 +4,10 @@ A line's first level is its number of tokens, the next levels are its leading
 tokens; tokens with digits are variable fields from the start unless they make
 up much of the line, as in rows of a table. Only leaves
 that several documents reach can hold a recurring template, and only their
-lines are taken apart. There, a token that no two documents share at its place
-is a variable field, as long as most of the line stays fixed. Templates that
-recur across documents are dropped after their first line.
+lines are taken apart. There, a token is a variable field if no two documents
+share it at its place, or if it is rare beside the tokens that most of its line
+consists of, as long as most of the line stays fixed. Templates that recur
+across documents are dropped after their first line.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ class Settings:
     shortest: int = 10
     #: Share of a line's tokens that must stay fixed once it has variable fields.
     fixed: float = 0.8
+    #: A token is fixed if at least one in so many of the template's distinct lines has it at its place.
+    spread: int = 40
     #: Share of a line's tokens that must be free of digits for the others to be masked; rows of data stay as they are.
     worded: float = 0.75
     #: A line of fewer than ``brief`` tokens must occur so many times: such lines also meet by chance.
@@ -104,13 +107,22 @@ def recurring(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
     # copies fold into one row a line before they are taken apart
     distinct = cut(whole.groupBy("leaf", "line_hash", "length").agg(*ends, F.first("fields").alias("fields")))
     fields = distinct.select("leaf", "line_hash", "length", "low", "high", F.explode("fields").alias("field"))
-    shared = fields.groupBy("leaf", "field").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("leaf", "field")
-    general = (
+    # distinct lines are counted, so that copies of a line do not make its values look fixed
+    held = (F.min("low").alias("low"), F.max("high").alias("high"), F.count("*").alias("held"))
+    shared = fields.groupBy("leaf", "field").agg(*held).where("low < high").select("leaf", "field", "held")
+    found = (
         fields.join(shared, ["leaf", "field"])
         .groupBy("leaf", "line_hash", "length")
-        .agg(F.count("*").alias("kept"), F.bit_xor("field").alias("mark"))
-        .where((F.col("kept") < F.col("length")) & (F.col("kept") >= s.fixed * F.col("length")))
-        .select("leaf", "line_hash", F.xxhash64("leaf", "kept", "mark").alias("template"))
+        .agg(F.sort_array(F.collect_list(F.struct("held", "field")), asc=False).alias("found"))
+        .withColumn("needed", F.ceil(s.fixed * F.col("length")).cast("int"))
+        .where(F.size("found") >= F.col("needed"))
+    )
+    # as many lines as the template has at most: the least common of the tokens that must stay fixed tells
+    support = F.element_at("found", F.col("needed"))["held"]
+    kept = found.withColumn("support", support).withColumn("kept", F.filter("found", lambda t: t["held"] * s.spread >= F.col("support")))
+    mark = F.aggregate("kept", F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(t["field"]))
+    general = kept.where(F.size("kept") < F.col("length")).select(
+        "leaf", "line_hash", F.xxhash64("leaf", F.size("kept").cast("long"), mark).alias("template")
     )
     lines = lines.join(general, ["leaf", "line_hash"], "left").withColumn(
         "template", F.coalesce("template", F.xxhash64("leaf", "line_hash"))
