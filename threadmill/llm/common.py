@@ -3,24 +3,26 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows and bytes of one Arrow batch: texts can be long, so a batch stays small.
-BATCH_ROWS, BATCH_BYTES = 512, 32 << 20
+#: Rows and bytes that one step takes at most, but a row at least: texts can be long, so a step stays small.
+BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches that reach Python workers."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+def steps(batches: Iterable[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ``rows`` rows and about ``BATCH_BYTES``."""
+    for batch in batches:
+        each = max(1, min(rows, BATCH_BYTES * batch.num_rows // max(1, batch.nbytes)))
+        for low in range(0, batch.num_rows, each):
+            yield batch.slice(low, each)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -45,11 +47,10 @@ def per_batch(
     df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str
 ) -> DataFrame:
     """mapInArrow with a function that is made once a task."""
-    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
-        for batch in batches:
+        for batch in steps(batches):
             out = step(batch)
             if out is not None and out.num_rows:
                 yield out

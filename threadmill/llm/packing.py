@@ -14,9 +14,8 @@ import heapq
 import json
 import os
 import zlib
-from array import array
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,24 +23,48 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, utf8
+from .common import steps, utf8
 from .merges import PairTable
-
-#: Entries of a worker's word cache, and the longest word it keeps.
-CACHE_WORDS, CACHE_BYTES = 800_000, 48
-#: Marks that end a word as one split of their own, and the first letter beyond those whose normal form is plain.
-MARKS, PLAIN = b".,;:!?%$&*#|()-", "\u0250"
+from .parts import Parts
+
+#: Parts that a worker remembers.
+CACHE_PARTS = 300_000
+#: Documents that are encoded together.
+STEP_ROWS = 2048
+#: The first letter beyond those whose normal form is plain.
+PLAIN = "\u0250"
 #: Windows of one balanced batch: it closes between these, where the fill suits.
 MIN_WINDOWS, MAX_WINDOWS = 96, 128
 
 _encoders: dict[str, "WordEncoder"] = {}
 
 
+def _borders() -> tuple[np.ndarray, np.ndarray]:
+    """Where the tokenizer's splitter always cuts between two bytes of lower-case text, and which bytes are white space.
+
+    Letters go together, digits alone, and other marks of ASCII together.
+    Bytes beyond ASCII and apostrophes may belong to either side, so nothing is
+    cut there but before digits.
+    """
+    byte = np.arange(256)
+    white = np.isin(byte, [*b" \t\n\v\f\r"])
+    digit = (byte >= 48) & (byte <= 57)
+    letter = (byte >= 97) & (byte <= 122)
+    loose = (byte >= 128) | (byte == 39)
+    mark = ~(white | digit | letter | loose)
+    one, two = (lambda m: m[:, None]), (lambda m: m[None, :])
+    cut = one(white) != two(white)
+    cut |= two(digit) & ~one(white)
+    cut |= one(digit) & ~two(byte >= 128)
+    cut |= one(letter) & two(mark) | one(mark) & two(letter)
+    return cut.ravel(), white
+
+
 class WordEncoder:
-    """Ids of whole texts, word by word, as little-endian unsigned 32-bit integers.
+    """Ids of whole texts as little-endian unsigned 32-bit integers.
 
     The tokenizer's splitter never joins characters over ASCII white space, so
-    a text's ids are those of its words in turn, and equal words are encoded once.
+    a text's ids are those of its parts in turn, and equal parts are encoded once.
     """
 
     def __init__(self, path: str):
@@ -59,7 +82,7 @@ class WordEncoder:
         letters = self._byte_letters()
         self.inner = np.array([vocab[x] for x in letters], np.int32)
         self.last = np.array([vocab[x + suffix] for x in letters], np.int32)
-        self.known: dict[bytes, bytes] = {}
+        self.parts = Parts(*_borders(), self._learn, CACHE_PARTS)
 
     def _byte_letters(self) -> list[str]:
         """The letter that stands for each byte in the vocabulary: itself if printable, else the next free one."""
@@ -67,54 +90,37 @@ class WordEncoder:
         other = iter(range(0x100, 0x200))
         return [chr(b) if b in plain else chr(next(other)) for b in range(256)]
 
-    def _splits(self, word: bytes) -> list[bytes]:
-        """The tokenizer's splits of a word without white space; the common shapes need no call."""
-        stem = word.rstrip(MARKS)
-        if stem.isalpha():
-            return [stem, word[len(stem) :]] if len(stem) < len(word) else [stem]
-        text = stem.decode()
+    def _splits(self, part: bytes) -> list[bytes]:
+        """The tokenizer's splits of a part with characters beyond ASCII or apostrophes; the common shape needs no call."""
+        text = part.decode()
         if text.isalpha() and max(text) < PLAIN and len(lower := text.lower()) == len(text):
-            return [lower.encode(), word[len(stem) :]] if len(stem) < len(word) else [lower.encode()]
-        text = self.tokenizer.normalizer.normalize_str(word.decode())
+            return [lower.encode()]
+        text = self.tokenizer.normalizer.normalize_str(text)
         return [text[slice(*span)].encode() for _, span in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
 
-    def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
-        """Ids of words that are new here."""
-        found: dict[bytes, bytes] = {}
-        parts: dict[bytes, list[bytes]] = {}
-        for w in words:
-            if b"<|" in w:
-                found[w] = array("I", self.tokenizer.encode(w.decode(), add_special_tokens=False).ids).tobytes()
-            else:
-                parts[w] = self._splits(w)
-        known = self.known
-        new = list(set(chain.from_iterable(parts.values())).difference(known))
-        lengths = np.fromiter(map(len, new), np.int64, len(new))
-        spelled = np.frombuffer(b"".join(new), np.uint8)
-        flat = self.inner[spelled]
+    def _learn(self, new: list[bytes]) -> list[bytes]:
+        """Ids of parts that are new."""
+        splits = [[p] if p.isascii() and b"'" not in p else self._splits(p) for p in new]
+        flat = list(chain.from_iterable(splits))
+        lengths = np.fromiter(map(len, flat), np.int64, len(flat))
+        spelled = np.frombuffer(b"".join(flat), np.uint8)
+        symbols = self.inner[spelled]
         ends = np.cumsum(lengths) - 1
-        flat[ends] = self.last[spelled[ends]]
-        learnt = dict(zip(new, self.pairs.segment(flat, lengths), strict=True))
-        for w, ps in parts.items():
-            found[w] = b"".join([known[p] if p in known else learnt[p] for p in ps])
-        return found
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        # lower case first, as the tokenizer does, unless a control string may be present
-        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        known = self.known
-        new = set().union(*split).difference(known)
-        extra: dict[bytes, bytes] = {}
-        if new:
-            found = self._learn(new)
-            extra = {w: v for w, v in found.items() if len(w) > CACHE_BYTES}
-            known.update((w, v) for w, v in found.items() if len(w) <= CACHE_BYTES)
-        if extra:
-            return [b"".join([known[w] if w in known else extra[w] for w in words]) for words in split]
-        get = known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        symbols[ends] = self.last[spelled[ends]]
+        ids = self.pairs.segment(symbols, lengths)
+        if len(flat) == len(new):
+            return ids
+        each = iter(ids)
+        return [b"".join(islice(each, len(s))) for s in splits]
+
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of each text; one that may hold a control string goes through the tokenizer whole."""
+        whole = {i for i, t in enumerate(texts) if b"<|" in t}
+        # lower case first, as the tokenizer does
+        out = self.parts.encode([b"" if i in whole else t.lower() for i, t in enumerate(texts)])
+        for i in whole:
+            out[i] = np.array(self.tokenizer.encode(texts[i].decode(), add_special_tokens=False).ids, np.uint32)
+        return out
 
 
 def encoder(path: str) -> WordEncoder:
@@ -209,11 +215,9 @@ def pack(
     """
     if not 0 < longest <= capacity:
         raise ValueError("longest must lie between 1 and capacity")
-    small_batches(docs.sparkSession)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = encoder(tokenizer)
-        end = array("I", [end_id]).tobytes()
+        end = np.array([end_id], "<u4").tobytes()
         sequence = TaskContext.get().partitionId() << 32
         rows: list[tuple] = []
         pending: list[tuple] = []
@@ -243,9 +247,9 @@ def pack(
             pending.clear()
             held = 0
 
-        for batch in batches:
+        for batch in steps(batches, STEP_ROWS):
             for doc, ids in zip(batch.column(0).to_pylist(), tokens.encode(utf8(batch.column(1))), strict=True):
-                ids += end
+                ids = ids.tobytes() + end
                 total = len(ids) // 4
                 start = 0
                 while total - start >= capacity:

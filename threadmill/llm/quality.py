@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, held_out, labelled_sample, per_batch, small_batches, utf8
+from .common import cut, held_out, labelled_sample, per_batch, steps, utf8
 
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 #: Rows of the summed table that one task adds up at most.
@@ -116,14 +116,12 @@ def word_vectors(docs: DataFrame, s: Settings) -> np.ndarray:
     The table of sums has a fixed size. Tasks send theirs in rows of ``BLOCK``
     slots, which are added up at most ``FAN_IN`` at a time, level by level.
     """
-    small_batches(docs.sparkSession)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _worker_slots(s.slots)
         places, signs = index_vectors(s)
         total = np.zeros((s.slots, s.dims + 1), np.int64)
         held: list[np.ndarray] = []
-        for batch in batches:
+        for batch in steps(batches):
             for text in utf8(batch.column(0)):
                 held.append(known.of(text))
             if sum(map(len, held)) >= TOKENS_AT_ONCE:
