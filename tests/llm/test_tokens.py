@@ -80,19 +80,35 @@ def test_pieces_equal_the_library(spark):
     path = tokenizer_path("piece_bpe_32k.model")
     library = sentencepiece.SentencePieceProcessor(model_file=path)
     codec = pieces.codec(path)
-    ids = codec.encode([t.encode() for t in ODD])
-    assert [x.tolist() for x in ids] == library.encode(ODD)
-    assert [codec.decode(x) for x in ids] == [library.decode(x.tolist()) for x in ids]
-    for t in ODD:
-        found, start, end = codec.spans(t.encode())
+    coded = codec.encode([t.encode() for t in ODD])
+    assert [x.tolist() for x, _, _ in coded] == library.encode(ODD)
+    assert [codec.decode(x) for x, _, _ in coded] == [library.decode(x.tolist()) for x, _, _ in coded]
+    for t, (found, start, end) in zip(ODD, coded):
         want = library.encode(t, return_type="proto").pieces
         assert list(zip(found.tolist(), start.tolist(), end.tolist())) == [(p.id, p.begin, p.end) for p in want]
     docs = spark.createDataFrame([*enumerate(ODD), (99, None)], "doc_id long, text string")
     rows = {r["doc_id"]: r for r in pieces.decode(pieces.encode(docs, path), path).collect()}
     assert rows[99]["ids"] == [2] and rows[99]["text"] == ""
     assert all(rows[i]["text"] == library.decode(library.encode(t)) for i, t in enumerate(ODD))
-    spans = pieces.encode(docs, path, with_spans=True).collect()
-    assert all(len(r["ids"]) == len(r["span_start"]) == len(r["span_end"]) for r in spans)
+    extra = docs.withColumn("ids", docs.doc_id).withColumn("span_end", docs.text)
+    for r in pieces.round_trip(extra, path).collect():
+        size = len((ODD[r["doc_id"]] if r["doc_id"] < 99 else "").encode())
+        assert (r["ids"], r["text"]) == (rows[r["doc_id"]]["ids"], rows[r["doc_id"]]["text"])
+        assert len(r["ids"]) == len(r["span_start"]) == len(r["span_end"])
+        assert sum(r["span_end"]) - sum(r["span_start"]) == size == r["span_end"][-1]
+    assert pieces.round_trip(docs.limit(0), path).count() == 0
+
+
+def test_spans_of_whole_texts_equal_the_library(data):
+    import pyarrow.parquet as pq
+    import sentencepiece
+
+    path = tokenizer_path("piece_bpe_32k.model")
+    library, codec = sentencepiece.SentencePieceProcessor(model_file=path), pieces.codec(path)
+    texts = [t or "" for t in pq.read_table(f"{data}/documents.parquet")["text"].to_pylist()]
+    for t, (ids, start, end) in zip(texts, codec.encode([t.encode() for t in texts])):
+        want = library.encode(t, return_type="proto").pieces
+        assert list(zip(ids.tolist(), start.tolist(), end.tolist())) == [(p.id, p.begin, p.end) for p in want]
 
 
 def test_bytes_that_are_no_text():
@@ -117,7 +133,7 @@ def test_character_maps(rule, strip):
     spec.ParseFromString(made.serialized_model_proto())
     codec = object.__new__(pieces.PieceCodec)
     codec.dummy, codec.strip, codec.escape, codec.map = True, strip, True, pieces.CharacterMap(spec.normalizer_spec.precompiled_charsmap)
-    for t in ["ＡＢＣ　ﬁ ①  x ", "  ㌔ é É ß ẛ̣ ", "a​b  c\x01 ", "", "　　", "Ｈｅｌｌｏ！ ½ ﷺ"]:
+    for t in ["plain é", "ＡＢＣ　ﬁ ①  x ", "  ㌔ é É ß ẛ̣ ", "a​b  c\x01 ", "", "　　", "Ｈｅｌｌｏ！ ½ ﷺ"]:
         plain, origin = codec.normalise(t.encode())
         assert plain.decode() == made.normalize(t)
         assert len(origin) == len(plain) + 1 and (np.diff(origin) >= 0).all()
@@ -133,4 +149,5 @@ def test_query_digests(spark, data):
         ids = library.encode(r["text"] or "", add_eos=True)
         mine = got.loc[r["doc_id"]]
         assert mine.n_tokens == len(ids) and mine.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert mine.spanned_bytes == len((r["text"] or "").encode())
         assert mine.decoded_sha256 == hashlib.sha256(library.decode(ids).encode()).hexdigest()

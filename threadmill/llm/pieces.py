@@ -17,14 +17,15 @@ from pyspark.sql import functions as F
 
 from .common import per_batch, utf8
 from .merges import PairTable
+from .parts import Parts
 
 SPACE = "▁"
 _SPACE = SPACE.encode()
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Entries of a worker's cache of space-led words, and the longest one it keeps.
-CACHE_WORDS, CACHE_BYTES = 500_000, 48
-#: Texts that are split and looked up together.
-GROUP = 256
+#: A byte that no UTF-8 text holds, for the mark of a space.
+_SHORT = b"\xff"
+#: Parts that a worker remembers.
+CACHE_PARTS = 200_000
 
 
 class CharacterMap:
@@ -38,6 +39,14 @@ class CharacterMap:
         size = int.from_bytes(blob[:4], "little") if blob else 0
         self.units = np.frombuffer(blob[4 : 4 + size], "<u4").tolist()
         self.texts = blob[4 + size :]
+        #: First bytes of what is mapped.
+        self.leads = [bytes([b]) for b in range(1, 256) if self._starts(b)]
+
+    def _starts(self, byte: int) -> bool:
+        if not self.units:
+            return False
+        node = (self.units[0] >> 10) << ((self.units[0] & 512) >> 6) ^ byte
+        return node < len(self.units) and self.units[node] & 0x800000FF == byte
 
     def longest(self, text: bytes, start: int) -> tuple[int, bytes] | None:
         """Length of the longest mapped prefix at ``start`` and what replaces it."""
@@ -86,10 +95,17 @@ class PieceCodec:
         self.end = next((i for i, p in enumerate(spec.pieces) if p.type == CONTROL and p.piece == "</s>"), None)
         self.bytes = {int(p[3:5], 16): i for i, (p, t) in enumerate(zip(self.pieces, self.types, strict=True)) if t == BYTE}
         self.value = {i: b for b, i in self.bytes.items()}
-        # a word that starts with a space can be merged alone, unless some piece runs past a space
-        self.by_word = not any(SPACE in p.lstrip(SPACE) for p in self.vocab)
+        self.sizes = np.array([1 if t == BYTE else len(p.encode()) for p, t in zip(self.pieces, self.types, strict=True)], np.int64)
+        self.surface = np.array([self._said(i) for i in range(len(self.pieces))], object)
+        #: Ids that need a look at their neighbours; bytes of ASCII always stand for themselves.
+        self.odd = np.array([t in (UNKNOWN, CONTROL) or t == BYTE and self.value[i] >= 0x80 for i, t in enumerate(self.types)])
         self._pair_table(spec)
-        self.known: dict[str, bytes] = {}
+        self.parts = Parts(self._borders(), np.zeros(256, bool), self._learn, CACHE_PARTS)
+
+    def _said(self, i: int) -> str:
+        if self.types[i] == BYTE:
+            return chr(self.value[i])
+        return {UNKNOWN: " ⁇ ", CONTROL: ""}.get(self.types[i], self.pieces[i].replace(SPACE, " "))
 
     def _pair_table(self, spec) -> None:
         """Symbols are pieces or single characters; equal scores count as one rank, the leftmost pair first."""
@@ -117,6 +133,24 @@ class PieceCodec:
 
     def normalise(self, text: bytes) -> tuple[bytes, np.ndarray]:
         """Normalised bytes, and for each of them and for the end the source byte it stands for."""
+        if self.strip or any(lead in text for lead in self.map.leads):
+            return self._walk(text)
+        # no prefix of the text is mapped anywhere: it stands for itself, and one array records all of it
+        source = np.arange(len(text) + 1, dtype=np.int32)
+        raw = np.frombuffer(text, np.uint8)
+        if not text.isascii():
+            source[:-1][raw & 0xC0 == 0x80] = 0
+            np.maximum.accumulate(source, out=source)  # every byte of a character stands for its first
+        if self.escape:
+            source = np.repeat(source, np.append(np.where(raw == 32, len(_SPACE), 1), 1))
+        space = _SPACE if self.escape else b" "
+        plain = text.replace(b" ", space)
+        if self.dummy and text:
+            return space + plain, np.concatenate([np.zeros(len(space), np.int32), source])
+        return plain, source
+
+    def _walk(self, text: bytes) -> tuple[bytes, np.ndarray]:
+        """Takes the longest mapped prefix at every place, or else one character."""
         space = _SPACE if self.escape else b" "
         parts: list[bytes] = []
         origin: list[int] = []
@@ -125,7 +159,7 @@ class PieceCodec:
             parts.append(piece)
             origin.extend([at] * len(piece))
 
-        at, after_space = 0, self.strip
+        at = 0
         units = []
         while at < len(text):
             found = self.map.longest(text, at)
@@ -135,13 +169,14 @@ class PieceCodec:
                 found = length, text[at : at + length]
             units.append((at, found[1]))
             at += found[0]
+        first = 0
         if self.strip:
-            while units and units[0][1] in (b" ", b""):
-                units.pop(0)
-        if self.dummy and units:
-            put(space, units[0][0])
+            while first < len(units) and units[first][1] in (b" ", b""):
+                first += 1
+        if self.dummy and first < len(units):
+            put(space, units[first][0])
         after_space = self.strip
-        for at, piece in units:
+        for at, piece in units[first:]:
             if self.strip and after_space:
                 piece = piece.lstrip(b" ")
             if piece:
@@ -154,122 +189,73 @@ class PieceCodec:
                 end = origin[len(joined) - len(space)]
                 joined = joined[: -len(space)]
                 del origin[len(joined) :]
-        return joined, np.array([*origin, end], np.int64)
-
-    def _plain(self, text: bytes) -> str:
-        """Normalised text without the record; an identity map needs no walk."""
-        if self.map.units or self.strip or not self.escape:
-            return self.normalise(text)[0].decode()
-        words = text.decode().replace(" ", SPACE)
-        return SPACE + words if self.dummy and words else words
+        return joined, np.array([*origin, end], np.int32)
 
     # Merging
 
-    def _merge(self, words: list[str]) -> list[bytes]:
-        """Ids of each word as little-endian 32-bit integers; unknown characters fall back to bytes."""
+    def _merge(self, text: str, lengths: np.ndarray) -> list[bytes]:
+        """Ids of words as little-endian 32-bit integers; unknown characters fall back to bytes.
+
+        ``text`` holds the words one after the other, ``lengths`` their numbers of characters.
+        """
         known = len(self.pieces)
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
-        merged = self.pairs.segment(self.symbols[np.frombuffer("".join(words).encode("utf-32-le"), "<u4")], lengths)
+        merged = self.pairs.segment(self.symbols[np.frombuffer(text.encode("utf-32-le"), "<u4")], lengths)
         flat = np.frombuffer(b"".join(merged), "<u4")
-        if not (flat >= known).any():
-            return merged
+        odd = np.flatnonzero(flat >= known)
+        ends = np.cumsum(np.fromiter(map(len, merged), np.int64, len(merged))) // 4
+        for row in np.unique(np.searchsorted(ends, odd, "right")).tolist():
+            each = [[s] if s < known else [self.bytes[b] for b in chr(s - known).encode()] for s in np.frombuffer(merged[row], "<u4").tolist()]
+            merged[row] = np.array([s for e in each for s in e], "<u4").tobytes()
+        return merged
+
+    def _learn(self, parts: list[bytes]) -> list[bytes]:
+        """Ids of parts that are new."""
+        texts = [p.replace(_SHORT, _SPACE).decode() for p in parts]
+        return self._merge("".join(texts), np.fromiter(map(len, texts), np.int64, len(texts)))
+
+    def _borders(self) -> np.ndarray:
+        """Between which neighbouring bytes nothing is merged, as no piece has their characters side by side."""
+        joined = {pair for p in self.vocab for pair in zip(p, p[1:], strict=False)}
+        cut = np.zeros((256, 256), bool)
+        names = [(b, chr(b)) for b in range(128)] + [(_SHORT[0], SPACE)]
+        for a, x in names:
+            for b, y in names:
+                cut[a, b] = (x, y) not in joined
+        if not any(y == SPACE and x != SPACE for x, y in joined):
+            cut[128 : _SHORT[0], _SHORT[0]] = True
+        return cut.ravel()
+
+    def encode(self, texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each text its ids, and the start and end byte of each in the source; a space that was added has no bytes."""
+        normal = [self.normalise(t) for t in texts]
         out = []
-        for ids in merged:
-            array = np.frombuffer(ids, "<u4")
-            if (array >= known).any():
-                each = [[s] if s < known else [self.bytes[b] for b in chr(s - known).encode()] for s in array.tolist()]
-                ids = np.array([s for e in each for s in e], "<u4").tobytes()
-            out.append(ids)
-        return out
-
-    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        """Ids of each text, without an end id."""
-        split = [self._words(self._plain(t)) for t in texts]
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        known = self.known
-        new = list(set().union(*split).difference(known))
-        extra: dict[str, bytes] = {}
-        for w, ids in zip(new, self._merge(new), strict=True):
-            (known if len(w) <= CACHE_BYTES else extra)[w] = ids
-        if extra:
-            joined = [b"".join([known[w] if w in known else extra[w] for w in words]) for words in split]
-        else:
-            get = known.__getitem__
-            joined = [b"".join(map(get, words)) for words in split]
-        return [np.frombuffer(x, "<u4").astype(np.int32) for x in joined]
-
-    def _words(self, text: str) -> list[str]:
-        """Runs of spaces with what follows them: no merge crosses their borders."""
-        if not self.by_word:
-            return [text] if text else []
-        parts = text.split(SPACE)
-        out, spaces = [parts[0]] if parts[0] else [], 0
-        if "" not in parts[1:]:
-            return [*out, *[SPACE + p for p in parts[1:]]]
-        for p in parts[1:]:
-            spaces += 1
-            if p:
-                out.append(SPACE * spaces + p)
-                spaces = 0
-        if spaces:
-            out.append(SPACE * spaces)
+        for (_, origin), ids in zip(normal, self.parts.encode([plain.replace(_SPACE, _SHORT) for plain, _ in normal]), strict=True):
+            ids = ids.astype(np.int32)
+            at = origin[np.concatenate([[0], np.cumsum(self.sizes[ids])])]
+            out.append((ids, at[:-1], at[1:]))
         return out
 
-    def spans(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids, and the start and end byte of each in the source; a space that was added has no bytes."""
-        plain, origin = self.normalise(text)
-        ids = np.concatenate([np.frombuffer(x, "<u4") for x in self._merge(self._words(plain.decode()))] or [np.zeros(0, "<u4")])
-        sizes = []
-        position = 0
-        for i in ids.tolist():
-            size = 1 if i in self.value else len(self.pieces[i].encode())
-            sizes.append(size)
-            position += size
-        ends = np.cumsum(np.array(sizes, np.int64))
-        starts = ends - np.array(sizes, np.int64)
-        return ids.astype(np.int32), origin[starts], origin[ends]
-
     # Decoding
 
     def decode(self, ids: np.ndarray) -> str:
         """Text of ids: control ids say nothing, runs of byte ids are read as UTF-8, bad bytes become U+FFFD."""
-        pieces, types = self._surface, self.types
-        listed = ids.tolist()
-        if not self._odd.isdisjoint(listed):
-            out: list[str] = []
+        parts = self.surface[ids].tolist()
+        first = 0
+        if (odd := np.flatnonzero(self.odd[ids])).size:
+            listed = ids[odd].tolist()
+            first = next((k for k, i in enumerate(ids.tolist()) if self.types[i] != CONTROL), len(parts))
             run = bytearray()
-            first = True
-            for i in listed:
-                if types[i] == BYTE:
-                    run.append(self.value[i])
-                    first = False
-                    continue
-                if run:
-                    out.append(_read(bytes(run)))
+            for k, (at, i) in enumerate(zip(odd.tolist(), listed, strict=True)):
+                if self.types[i] != BYTE:
+                    continue  # its surface stands
+                run.append(self.value[i])
+                parts[at] = ""
+                if k + 1 == len(odd) or odd[k + 1] != at + 1 or self.types[listed[k + 1]] != BYTE:
+                    parts[at] = _read(bytes(run))
                     run.clear()
-                if types[i] == CONTROL:
-                    continue
-                piece = " ⁇ " if types[i] == UNKNOWN else pieces[i]
-                out.append(piece[1:] if first and self.dummy and piece[:1] == " " and types[i] != UNKNOWN else piece)
-                first = False
-            if run:
-                out.append(_read(bytes(run)))
-            return "".join(out)
-        text = "".join([pieces[i] for i in listed])
-        return text[1:] if (self.dummy or self.strip) and text[:1] == " " else text
-
-    @property
-    def _surface(self) -> list[str]:
-        if not hasattr(self, "_texts"):
-            self._texts = [p.replace(SPACE, " ") for p in self.pieces]
-        return self._texts
-
-    @property
-    def _odd(self) -> set[int]:
-        if not hasattr(self, "_special"):
-            self._special = {i for i, t in enumerate(self.types) if t in (BYTE, UNKNOWN, CONTROL)}
-        return self._special
+        if first < len(parts) and (self.dummy or self.strip) and self.types[ids[first]] in (NORMAL, UNUSED):
+            parts[first] = parts[first].removeprefix(" ")
+        return "".join(parts)
 
 
 def _read(run: bytes) -> str:
@@ -299,39 +285,41 @@ def _lists(values: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*values, np.zeros(0)]).astype(kind.to_pandas_dtype())))
 
 
-def encode(docs: DataFrame, model: str, add_end: bool = True, with_spans: bool = False) -> DataFrame:
-    """doc_id, ids, and with ``with_spans`` the arrays span_start and span_end of original byte offsets.
+CODED = "doc_id long, ids array<int>, span_start array<int>, span_end array<int>"
+
+
+def _coded(known: PieceCodec, texts: list[bytes], add_end: bool) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+    """Ids, starts and ends of each text, with the end id."""
+    rows = known.encode(texts)
+    if not add_end:
+        return tuple([r[k] for r in rows] for k in range(3))
+    sizes = [len(t) for t in texts]
+    return [np.append(r[0], known.end) for r in rows], *([np.append(r[k], n) for r, n in zip(rows, sizes, strict=True)] for k in (1, 2))
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
 
-    Needs doc_id and text; other columns are left out. A null text is an empty
-    one, whose ids are the end id alone; the end id spans no bytes. Repeated
-    rows are encoded each on its own; no rows give no rows.
+def encode(docs: DataFrame, model: str, add_end: bool = True) -> DataFrame:
+    """doc_id, ids, and the arrays span_start and span_end of original byte offsets.
+
+    Needs doc_id and text; other columns are left out, whatever their names. A
+    null text is an empty one, whose ids are the end id alone; the end id spans
+    no bytes. Repeated rows are encoded each on its own; no rows give no rows.
+    Texts of any length are encoded whole.
     """
 
     def make():
         known = codec(model)
-        end = np.array([known.end] if add_end else [], np.int32)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            texts = utf8(batch.column(1))
-            columns = [batch.column(0)]
-            if with_spans:
-                rows = [known.spans(t) for t in texts]
-                tail = [np.full(len(end), len(t), np.int64) for t in texts]
-                columns.append(_lists([np.append(r[0], end) for r in rows], pa.int32()))
-                for k in (1, 2):
-                    columns.append(_lists([np.append(r[k], t) for r, t in zip(rows, tail, strict=True)], pa.int64()))
-            else:
-                ids = [x for i in range(0, len(texts), GROUP) for x in known.encode(texts[i : i + GROUP])]
-                columns.append(_lists([np.append(x, end) for x in ids], pa.int32()))
-            names = ["doc_id", "ids", "span_start", "span_end"][: len(columns)]
-            return pa.RecordBatch.from_arrays(columns, names=names)
+            lists = _coded(known, utf8(batch.column(1)), add_end)
+            return pa.RecordBatch.from_arrays([batch.column(0), *[_lists(x, pa.int32()) for x in lists]], names=["doc_id", "ids", "span_start", "span_end"])
 
         return step
 
-    schema = "doc_id long, ids array<int>" + ", span_start array<long>, span_end array<long>" * with_spans
-    return per_batch(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), make, schema
-    )
+    return per_batch(_named(docs), make, CODED)
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
@@ -349,3 +337,23 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
         return step
 
     return per_batch(encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids"), make, "doc_id long, ids array<int>, text string")
+
+
+def round_trip(docs: DataFrame, model: str, add_end: bool = True) -> DataFrame:
+    """What ``encode`` gives, and in the column text what ``decode`` makes of the ids.
+
+    Both in one pass, so that a task needs one worker with one codec.
+    """
+
+    def make():
+        known = codec(model)
+
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            lists = _coded(known, utf8(batch.column(1)), add_end)
+            texts = pa.array([known.decode(ids) for ids in lists[0]], pa.string())
+            columns = [batch.column(0), *[_lists(x, pa.int32()) for x in lists], texts]
+            return pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "span_start", "span_end", "text"])
+
+        return step
+
+    return per_batch(_named(docs), make, f"{CODED}, text string")

@@ -64,12 +64,14 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = tokenizer_path("piece_bpe_32k.model")
-    coded = pieces.decode(pieces.encode(table(spark, sf_dir, "documents"), model), model)
+    coded = pieces.round_trip(table(spark, sf_dir, "documents"), model)
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("text", 256).alias("decoded_sha256"),
+        # the source bytes that the pieces' spans cover: all of them, once
+        F.aggregate(F.zip_with("span_end", "span_start", lambda b, a: b - a), F.lit(0).cast("long"), lambda n, x: n + x).alias("spanned_bytes"),
     )
 
 
