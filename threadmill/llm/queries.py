@@ -135,4 +135,4 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_topk": TOPK_SQL, "op9_urlgraph": urlgraph.oracle(URL_RULES, URL_SETTINGS)}
+    return {"op3_linededup": linededup.LINES_SQL, "op8_topk": TOPK_SQL, "op9_urlgraph": urlgraph.oracle(URL_RULES, URL_SETTINGS)}
