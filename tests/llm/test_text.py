@@ -211,6 +211,22 @@ def test_lines_of_odd_tables(spark):
     assert linededup.dedup(docs(spark, [])).count() == 0
 
 
+def test_one_text_of_many_lines(spark):
+    lines = [f"this very line number word{'abc'[i % 3]}x{chr(97 + i % 26)} is said again" for i in range(200_000)]
+    rows = [(1, "a first text\n" + lines[0]), (2, "\n".join(lines) + "\nand its own end")]
+    got = {r["doc_id"]: r for r in linededup.dedup(docs(spark, rows).withColumn("__gone", linededup.F.lit(1))).collect()}
+    assert got[1]["n_dropped"] == 0 and got[2]["n_lines"] == 200_001
+    assert got[2]["n_dropped"] == 200_000 and got[2]["text"] == "and its own end"
+
+
+def test_short_templates_need_many_lines(spark):
+    names = ["".join(chr(97 + (i * 7 + k * k) % 26) for k in range(6)) + str() for i in range(26)]
+    line = "posted here by {} in our section".format
+    few = linededup.dedup(docs(spark, [(i, line(n)) for i, n in enumerate(names[:6])])).where("n_dropped > 0").count()
+    many = linededup.dedup(docs(spark, [(i, line(n)) for i, n in enumerate(names)])).where("n_dropped > 0").count()
+    assert (few, many) == (0, 25)
+
+
 @pytest.mark.parametrize("size", [10, 1000, 100_000])
 def test_worded_fields_at_any_size(spark, size):
     rng = random.Random(size)
@@ -302,21 +318,87 @@ def test_toxicity(spark):
 
 def test_toxicity_index_is_exact():
     rng = np.random.default_rng(1)
-    terms = {f"t{i}": i for i in range(30)}
-    index = toxicity.Index(terms, 1 + rng.random(30), np.zeros(900, np.int64), np.arange(900))
-    counts = [{int(t): int(rng.integers(1, 4)) for t in rng.choice(30, rng.integers(1, 6), replace=False)} for _ in range(900)]
+    n, size = 1800, 300
+    terms = {f"t{i}": i for i in range(size)}
+    index = toxicity.Index(terms, 1 + rng.random(size), np.zeros(n, np.int64), np.arange(n))
+    # term i is common, rarer the larger it is; neighbours in order hold like terms
+    counts = [{int(t): int(rng.integers(1, 4)) for t in {*(rng.zipf(1.3, 12) % 100), *range(100 + 5 * (row * 36 // n), 105 + 5 * (row * 36 // n))}} for row in range(n)]
     vectors = [index.vector(c) for c in counts]
     index.fill(vectors)
-    dense = np.zeros((900, 30))
+    assert (index.common >= 0).any() and (index.common < 0).any()
+    dense = np.zeros((n, size))
     for i, (t, w) in enumerate(vectors):
         dense[i, t] = w
-    for row in range(0, 900, 37):
-        rows, cosines = index.nearest(*vectors[row], 12, skip=row)
+    walked = []
+    for row in range(0, n, 37):
+        rows, cosines, blocks = index.nearest(*vectors[row], 12, skip=row)
         exact = np.round(dense @ dense[row], 12)
         exact[row] = -1
-        best = np.lexsort((np.arange(900), -exact))[:12]
+        best = np.lexsort((np.arange(n), -exact))[:12]
         assert rows.tolist() == [b for b in best if exact[b] > 0]
         assert np.allclose(cosines, exact[rows])
+        walked.append(blocks)
+    assert np.mean(walked) < index.block_count
+
+
+def test_toxicity_scores_equal_brute_force(spark):
+    """Weights, cosines, votes and calibration again, over a whole table, without the index."""
+    rng = random.Random(11)
+    vocabulary = [words(rng, 1) for _ in range(60)]
+    texts = [" ".join(rng.choices(vocabulary, k=rng.randint(3, 20)) + (["badly", "badlyish"][: 1 + i % 2] if i % 3 == 0 else [])) for i in range(300)] + ["", None]
+    frame = docs(spark, enumerate(texts))
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(200)], "doc_id long, toxic int")
+    model = toxicity.fit(frame, labels)
+    got = {r["doc_id"]: r for r in toxicity.score(spark, frame, model).collect()}
+
+    def terms(text):
+        out = defaultdict(int)
+        for w in re.findall(r"[a-z]+", (text or "").lower()):
+            out[w] += 1
+            if len(w) > 5:
+                out[w[:5] + "*"] += 1
+        return out
+
+    import math
+    import zlib
+
+    train = {}
+    for i in range(200):
+        if zlib.crc32(str(i).encode()) % 3 != 1:
+            train.setdefault(texts[i], i)
+    train = sorted(train.values())
+    bags = {i: terms(texts[i]) for i in range(len(texts))}
+    share = sum(i % 3 == 0 for i in train) / len(train)
+
+    def weight(t):
+        bad, good = (sum(t in bags[i] for i in train if (i % 3 == 0) == m) for m in (True, False))
+        df = max(1, sum(t in b for b in bags.values()))
+        idf = math.log((1 + len(texts)) / (1 + df)) + 1
+        if not bad + good:
+            return math.log((1 + len(texts)) / 2) + 1
+        part = lambda n, rate: n * math.log(n / ((bad + good) * rate)) if n else 0
+        return idf * (1 + 6 * math.sqrt(max(0, 2 * (part(bad, share) + part(good, 1 - share)) - 12)))
+
+    weights = {t: weight(t) for b in bags.values() for t in b}
+
+    def unit(b):
+        v = {t: (1 + math.log(n)) * weights[t] for t, n in b.items()}
+        length = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / length for t, x in v.items()}
+
+    vectors = {i: unit(b) for i, b in bags.items() if b}
+
+    def vote(i, others):
+        near = sorted(((-round(sum(x * vectors[j].get(t, 0) for t, x in vectors[i].items()), 10), model.index.ids.tolist().index(j), j) for j in others))
+        near = [(1 / (0.05 + math.sqrt(max(0, 2 + 2 * c))), j) for c, _, j in near[:15] if c < 0]
+        return (sum(w for w, j in near if j % 3 == 0) + share) / (sum(w for w, _ in near) + 1)
+
+    known = [vote(i, [j for j in train if j != i]) for i in train]
+    knots, chances = toxicity.calibrate(np.array(known), np.array([int(i % 3 == 0) for i in train]))
+    assert np.allclose(model.knots, knots, atol=1e-6) and np.allclose(model.chances, chances)
+    for i in range(300):
+        assert abs(got[i]["score"] - np.interp(vote(i, train), knots, chances)) < 1e-4, i
+    assert got[300]["score"] == got[301]["score"] == model.silent
 
 
 @pytest.mark.parametrize("labels", [[], [(0, 1), (2, 1)], [(0, None), (2, None)]])

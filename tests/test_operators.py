@@ -134,3 +134,31 @@ def test_empty_tables(spark):
     assert messages.counts(none).count() == 0
     assert incremental.bounded(none, states).count() == 0
     assert triggers.events(none, triggers.Patterns()).count() == 0
+
+
+def test_missing_roles_and_texts_stay(spark):
+    from threadmill.operators import external
+
+    said = spark.createDataFrame([("a", 0, None, "x"), ("a", 1, "user", None), ("a", 2, "user", None)], "chat_url string, index long, role string, text string")
+    sent = spark.createDataFrame([("a", None)], "chat_url string, text string")
+    got = {r["index"]: r["external"] for r in external.mark_external(said, sent).collect()}
+    assert got == {0: False, 1: False, 2: True}
+
+
+def test_throttle_walks_long_chats(spark):
+    import random
+
+    from threadmill.operators import throttle
+
+    rng = random.Random(2)
+    rows = [(c, rng.choice([rng.uniform(0, 5000), float(rng.randrange(0, 5000, 5))])) for c in "ab" for _ in range(3000)]
+    want = []
+    for chat in "ab":
+        last = float("-inf")
+        for ts in sorted(t for c, t in rows if c == chat):
+            if ts - last >= 10.0:
+                want.append((chat, ts))
+                last = ts
+    got = throttle.accepted(spark.createDataFrame([*rows, (None, 1.0), ("a", None)], "chat_url string, ts double"))
+    assert sorted(tuple(r) for r in got.collect()) == want
+    assert throttle.accepted(spark.createDataFrame([], "chat_url string, ts double")).count() == 0

@@ -22,6 +22,11 @@ def with_images(messages: DataFrame, narrowest: int = MIN_WIDTH) -> DataFrame:
     return messages.withColumn("images", F.concat(tags, backgrounds)).drop("imgs", "bg_styles")
 
 
+def messages_with(messages: DataFrame, include_images: bool = True) -> DataFrame:
+    """Messages with the column images, or without it and all that it is made from."""
+    return with_images(messages) if include_images else messages.drop("imgs", "bg_styles")
+
+
 def _image(src: Column, alt: Column, width: Column, is_blob: Column) -> Column:
     return F.struct(src.alias("src"), alt.alias("alt"), width.cast("int").alias("width"), is_blob.alias("is_blob"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,11 +24,16 @@ def accepted(checks: DataFrame, gap: float = GAP) -> DataFrame:
         chat, last = None, -np.inf
         for rows in batches:
             keep = np.zeros(len(rows), bool)
-            for i, (url, ts) in enumerate(zip(rows["chat_url"], rows["ts"], strict=True)):
-                if url != chat:
-                    chat, last = url, -np.inf
-                if ts - last >= gap:
-                    keep[i], last = True, ts
+            urls, times = rows["chat_url"].to_numpy(), rows["ts"].to_numpy(float)
+            starts = np.flatnonzero(np.append(True, urls[1:] != urls[:-1])) if len(rows) else []
+            for low, high in zip(starts, np.append(starts[1:], len(rows)), strict=True):
+                if urls[low] != chat:
+                    chat, last = urls[low], -np.inf
+                # from one accepted check straight to the next
+                while low < high:
+                    low = low + bisect_left(times[low:high], True, key=lambda t: t - last >= gap)  # noqa: B023
+                    if low < high:
+                        keep[low], last = True, times[low]
             yield rows[keep]
 
     ordered = checks.where("chat_url IS NOT NULL AND ts IS NOT NULL").select("chat_url", "ts")

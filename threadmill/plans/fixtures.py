@@ -30,6 +30,10 @@ CHECKS = """(VALUES ('a', 0.0), ('a', 6.0), ('a', 12.0), ('a', 18.0), ('a', 24.0
 ) AS t(chat_url, ts)"""
 #: Stored marks: equal, lower than the count by a few and by many, and higher.
 STATES = "(VALUES ('0', 3), ('1', 0), ('2', 99), ('3', 1), ('4', 2)) AS t(chat_url, last_seen_count)"
+SWITCHES = "(VALUES ('1'), ('TRUE'), ('yes'), ('0'), ('on'), (''), (NULL)) AS t(value)"
+PAUSES = "(VALUES (3, 8), (3, 2), (5, 15), (3, 9), (4, 4)) AS t(active, other)"
+SCANS = """(VALUES (100.0, 'active_only', true, '1', 0, NULL), (103.0, 'project_recent', true, '2', 2, 'lost page'), (106.0, 'project_recent', true, '2', 1, NULL)
+) AS t(looked_at, mode, running, active_chat_url, triggers, error)"""
 LOGGED_IN = "(VALUES (1, true), (2, false), (3, NULL)) AS t(id, logged_in)"
 BAG = "(VALUES ('h1'), ('h1'), ('h2')) AS t(h)"
 OURS = "(VALUES ('h1'), ('h3')) AS t(h)"

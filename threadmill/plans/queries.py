@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import full_hash, prefix, short_hash, suffix
+from ..functions.text import full_hash, one_line, prefix, short_hash, suffix, truthy
 from ..operators import external, images, incremental, links, stability, status, throttle, triggers
 from ..sources import documents, messages
 from . import fixtures
@@ -130,10 +130,11 @@ def last_trigger(spark, sf_dir):
 
 @query(
     f"WITH {_MSG}, {_FIND} SELECT chat_url, message_index, '🔔 GPT → Архитектор' || chr(10) || '[' || type || '] в чате «untitled»' || chr(10) || "
-    "'msg#' || CAST(message_index AS VARCHAR) || ': ' || left(text_preview, 150) AS text FROM f WHERE type = 'architect_call'"
+    "'msg#' || CAST(message_index AS VARCHAR) || ': ' || left(text_preview, 150) AS text, 'chat_id=me%401&text=' || "
+    "replace(replace(replace(url_encode(text), '%20', '+'), '~', '%7E'), '%2A', '*') AS payload FROM f WHERE type = 'architect_call'"
 )
 def notify_payload(spark, sf_dir):
-    return triggers.notices(found_events(spark, sf_dir)).drop("payload")
+    return triggers.notices(found_events(spark, sf_dir), chat="me@1")
 
 
 @query(f"SELECT key, first_seen FROM {fixtures.SEEN_KEYS} ORDER BY first_seen DESC, key LIMIT 12")
@@ -382,6 +383,51 @@ def monitor_status(spark, sf_dir):
     return status.monitor(messages.load(spark, sf_dir).select("chat_url"), found, keys, started=100.0, now=161.9)
 
 
+@query(f"SELECT active, other, greatest(1, other // active)::BIGINT AS looks FROM {fixtures.PAUSES}")
+def look_divider(spark, sf_dir):
+    return rows(spark, fixtures.PAUSES).withColumn("looks", status.every(F.col("active"), F.col("other")))
+
+
+@query(f"WITH {_MSG} SELECT * FROM m WHERE chat_url = '3'")
+def mode_active_only(spark, sf_dir):
+    said = messages.load(spark, sf_dir)
+    return status.in_mode(said, "active_only", "3", said)
+
+
+@query(f"WITH {_MSG} SELECT * FROM m WHERE chat_url IN ('3', '5', '7')")
+def mode_recent(spark, sf_dir):
+    said = messages.load(spark, sf_dir)
+    return status.in_mode(said, "project_recent", "3", said.where("chat_url IN ('5', '7', '3')"))
+
+
+@query(
+    f"WITH {_MSG}, {_FIND}, s AS (SELECT * FROM {fixtures.SCANS}) SELECT true AS running, 'project_recent' AS mode, 100.0::DOUBLE AS started_at, 61::BIGINT AS uptime_sec, "
+    "(SELECT count(*) FROM s) AS scan_count, (SELECT sum(triggers)::BIGINT FROM s) AS trigger_count, '2' AS active_chat_url, 'lost page' AS last_error, 103.0::DOUBLE AS last_error_at, "
+    f"106.0::DOUBLE AS last_sync_at, (SELECT count(DISTINCT chat_url) FROM m) AS tracked_chats, (SELECT count(*) FROM f) AS pending_events, (SELECT count(DISTINCT {_KEY}) FROM f) AS processed_dedup_keys"
+)
+def monitor_full_status(spark, sf_dir):
+    found = found_events(spark, sf_dir)
+    scans = rows(spark, fixtures.SCANS).withColumn("looked_at", F.col("looked_at").cast("double"))
+    keys = found.select(triggers.event_key().alias("key"))
+    return status.full(messages.load(spark, sf_dir).select("chat_url"), found, keys, scans, now=161.9)
+
+
+@query(f"SELECT value, lower(value) IN ('1', 'true', 'yes') AS is_on FROM {fixtures.SWITCHES}")
+def switch_text(spark, sf_dir):
+    return rows(spark, fixtures.SWITCHES).withColumn("is_on", truthy(F.col("value")))
+
+
+@query(f"WITH {_MSG} SELECT chat_url, index, replace(text, chr(10), ' ') AS line FROM m")
+def one_line_text(spark, sf_dir):
+    return messages.load(spark, sf_dir).select("chat_url", "index", one_line(F.col("text")).alias("line"))
+
+
+@query(f"SELECT chat_url, index::BIGINT AS index, role FROM {fixtures.IMAGES}")
+def messages_without_images(spark, sf_dir):
+    base = rows(spark, fixtures.IMAGES).select("chat_url", F.col("index").cast("long").alias("index"), "role", F.array("style").alias("bg_styles"))
+    return images.messages_with(base, include_images=False)
+
+
 @query(f"WITH {_MSG} SELECT chat_url, index, sha1(text) AS hash, left(text, 500) AS shown, right(text, 20) AS ending FROM m")
 def text_functions(spark, sf_dir):
     text = F.col("text")

@@ -21,8 +21,8 @@ from ..operators import external, triggers
 from ..operators.stability import MAX_WAIT_MS, STABLE_POLLS
 from ..sources import messages
 
-# Seconds between looks at the active chat and at the others.
-ACTIVE_SECONDS, OTHER_SECONDS = 3, 6
+# Seconds between looks at the active chat, and at the others as asked for; messages read of a chat at first sight.
+ACTIVE_SECONDS, OTHER_SECONDS, FIRST_SIGHT = 3, 8, 5
 
 
 def landed(spark: SparkSession, folder: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -52,22 +52,37 @@ def run_once(writer: DataStreamWriter) -> None:
     writer.trigger(availableNow=True).start().awaitTermination()
 
 
-def keep_running(writer: DataStreamWriter, active: bool = True) -> StreamingQuery:
-    return writer.trigger(processingTime=f"{ACTIVE_SECONDS if active else OTHER_SECONDS} seconds").start()
+def pause(active: bool = True, active_seconds: int = ACTIVE_SECONDS, other_seconds: int = OTHER_SECONDS) -> int:
+    """Seconds between two looks; other chats are looked at on a whole number of looks at the active one."""
+    return active_seconds if active else active_seconds * max(1, other_seconds // active_seconds)
 
 
-def new_messages(stream: DataFrame, tail: int | None = None) -> DataFrame:
+def keep_running(writer: DataStreamWriter, active: bool = True, active_seconds: int = ACTIVE_SECONDS, other_seconds: int = OTHER_SECONDS) -> StreamingQuery:
+    """Start looking again and again, until ``stop``."""
+    return writer.trigger(processingTime=f"{pause(active, active_seconds, other_seconds)} seconds").start()
+
+
+def stop(query: StreamingQuery) -> str:
+    """End a running query and say whether it ran; its checkpoint stays, so that the next start goes on there."""
+    if not query.isActive:
+        return "not_running"
+    query.stop()
+    return "stopped"
+
+
+def new_messages(stream: DataFrame, tail: int | None = None, first: int | None = FIRST_SIGHT) -> DataFrame:
     """Messages at or beyond the mark of their chat, which is kept as state.
 
-    Without ``tail`` the mark never falls and nothing new is lost. With it only
-    the last ``tail`` messages of a batch are read and the mark is set to the
-    batch's count, even downwards.
+    Of a chat that has no mark yet the last ``first`` messages are read, all of
+    them if it is null. Without ``tail`` the mark never falls and nothing new is
+    lost. With it only the last ``tail`` messages of a batch are read and the
+    mark is set to the batch's count, even downwards.
     """
 
     def step(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen = state.get[0] if state.exists else 0
         rows = pd.concat(list(batches)).sort_values("index", kind="stable")
         count = int(rows["index"].max()) + 1
+        seen = state.get[0] if state.exists else 0 if first is None else max(0, count - first)
         start = seen if tail is None else max(seen, count - tail)
         state.update((max(seen, count) if tail is None else count,))
         yield rows[rows["index"] >= start]
@@ -75,17 +90,28 @@ def new_messages(stream: DataFrame, tail: int | None = None) -> DataFrame:
     return stream.groupBy("chat_url").applyInPandasWithState(step, messages.SCHEMA, "seen long", "append", GroupStateTimeout.NoTimeout)
 
 
+USED = "chat_url string, hash string, n long"
+
+
 def watch(stream: DataFrame, sent: DataFrame, folder: str, checkpoint: str) -> DataStreamWriter:
     """One event a chat and batch, told apart by the texts in ``sent``.
 
-    A batch that is run again overwrites its own folder, so no event is logged twice.
+    Each sent text accounts for one message over all batches: what has been
+    used up by a batch is written beside the checkpoint under its number. A
+    batch that is run again reads what the one before it left and overwrites its
+    own folders, so no event is logged and no text used twice. Of several rows
+    of one place the least role and text is taken.
     """
+    used_in = f"{checkpoint}-used"
 
     def log(batch: DataFrame, number: int) -> None:
-        fresh = batch.dropDuplicates(["chat_url", "index"])
+        spark = batch.sparkSession
+        fresh = batch.groupBy("chat_url", "index").agg(F.min(F.struct("role", "text")).alias("m")).select("chat_url", "index", "m.role", "m.text")
+        used = spark.read.schema(USED).json(f"{used_in}/batch={number - 1}") if number else spark.createDataFrame([], USED)
+        marked = external.mark_external(fresh, sent, used=used)
         totals = fresh.groupBy("chat_url").agg((F.max("index") + 1).alias("message_count"))
-        events = external.watch_events(external.mark_external(fresh, sent), totals)
-        events.write.mode("overwrite").json(f"{folder}/batch={number}")
+        external.watch_events(marked, totals).write.mode("overwrite").json(f"{folder}/batch={number}")
+        external.spend(marked, used).write.mode("overwrite").json(f"{used_in}/batch={number}")
 
     return stream.writeStream.foreachBatch(log).option("checkpointLocation", checkpoint)
 
@@ -97,6 +123,12 @@ def snapshot(marks: DataFrame, folder: str, number: int) -> str:
     return path
 
 
+def latest(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """The snapshot of the largest number."""
+    found = spark.read.schema(f"{schema}, snapshot long").json(folder)
+    return found.where(F.col("snapshot") == (found.agg(F.max("snapshot")).first()[0])).drop("snapshot")
+
+
 def drain(spark: SparkSession, folder: str, after: int = -1) -> tuple[DataFrame, int]:
     """Events of batches beyond ``after``, and the last batch read: reading takes nothing away."""
     events = spark.read.json(folder).where(F.col("batch") > after)
@@ -104,29 +136,45 @@ def drain(spark: SparkSession, folder: str, after: int = -1) -> tuple[DataFrame,
     return events, after if last is None else int(last)
 
 
+OUT = ["key", "status", "response", "poll_no"]
 STABLE = "key string, status string, response string, poll_no long"
 
 
-def stable_responses(polls: DataFrame, stable: int = STABLE_POLLS, longest: int = MAX_WAIT_MS) -> DataFrame:
-    """The streaming form of ``stability.outcomes``: polls of a key come in order over batches, an outcome goes out once."""
+def stable_responses(polls: DataFrame, stable: int = STABLE_POLLS, longest: int = MAX_WAIT_MS, clock: bool = True) -> DataFrame:
+    """The streaming form of ``stability.outcomes``: polls of a key come in order over batches, an outcome goes out once.
+
+    A key that is not polled any more ends by the clock: what is left of its
+    longest wait after its last poll. A key's state goes as long again after its outcome.
+    Without ``clock`` polls alone end a key and states stay, as ``run_once`` needs: a
+    stream that waits for a clock never comes to an end.
+    """
 
     def step(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        done, text, repeats = state.get if state.exists else (False, "", 0)
-        out = None
+        done, text, repeats, shown, last = state.get if state.exists else (False, "", 0, None, 0)
+        out, left = None, longest
+        if state.hasTimedOut:
+            state.remove()
+            if not done:
+                yield pd.DataFrame([(key[0], "timeout_empty" if shown is None else "timeout_partial", shown or "", last)], columns=OUT)
+            return
         for p in pd.concat(list(batches)).sort_values("poll_no").itertuples():
             if done:
                 break
-            shown = p.text or ""
-            if not p.generating and p.assistant_count > p.pre_count:
+            there = p.assistant_count > p.pre_count
+            shown, last, left = (p.text or "") if there else None, int(p.poll_no), longest - p.elapsed_ms
+            if not p.generating and there:
                 repeats = repeats + 1 if shown == text and shown else 0
                 text = shown
                 if shown and repeats >= stable:
-                    out, done = ("complete", shown, p.poll_no), True
+                    out, done = ("complete", shown, last), True
             if not done and p.elapsed_ms > longest:
-                seen = p.assistant_count > p.pre_count
-                out, done = ("timeout_partial" if seen else "timeout_empty", shown if seen else "", p.poll_no), True
-        state.update((done, text, repeats))
+                out, done = ("timeout_empty" if shown is None else "timeout_partial", shown or "", last), True
+        state.update((done, text, repeats, shown, last))
+        if clock:
+            state.setTimeoutDuration(int(longest if done else max(1, left)))
         if out is not None:
-            yield pd.DataFrame([(key[0], *out)], columns=["key", "status", "response", "poll_no"])
+            yield pd.DataFrame([(key[0], *out)], columns=OUT)
 
-    return polls.groupBy("key").applyInPandasWithState(step, STABLE, "done boolean, text string, repeats long", "append", GroupStateTimeout.NoTimeout)
+    kept = "done boolean, text string, repeats long, shown string, last long"
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if clock else GroupStateTimeout.NoTimeout
+    return polls.groupBy("key").applyInPandasWithState(step, STABLE, kept, "append", timeout)
