@@ -323,7 +323,7 @@ def test_toxicity_index_is_exact():
     index = toxicity.Index(terms, 1 + rng.random(size), np.zeros(n, np.int64), np.arange(n))
     # term i is common, rarer the larger it is; neighbours in order hold like terms
     counts = [{int(t): int(rng.integers(1, 4)) for t in {*(rng.zipf(1.3, 12) % 100), *range(100 + 5 * (row * 36 // n), 105 + 5 * (row * 36 // n))}} for row in range(n)]
-    vectors = [index.vector(c) for c in counts]
+    vectors = [index.vector(np.array(sorted(c)), np.array([c[t] for t in sorted(c)])) for c in counts]
     index.fill(vectors)
     assert (index.common >= 0).any() and (index.common < 0).any()
     dense = np.zeros((n, size))

@@ -1,10 +1,11 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Terms that tell the labels apart span the vector space; labelled examples are
-kept in an inverted index whose posting blocks know their largest weight.
-Each document walks its blocks in order of their upper bounds and stops when no
-block left can reach the k-th best cosine, so the neighbours are exact. Their
-votes are weighted by nearness and calibrated on the examples themselves.
+All terms of a text span the vector space; terms that tell the labels apart
+weigh more. Labelled examples are kept in an inverted index whose posting blocks
+know their largest weight for each term. Each document walks the blocks in order
+of their upper bounds and stops when no block left can reach the k-th best
+cosine, so the neighbours are exact. Their votes are weighted by nearness and
+calibrated on the examples themselves.
 """
 
 from __future__ import annotations
@@ -13,9 +14,11 @@ import math
 import re
 from collections import Counter
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,27 +26,36 @@ from .common import cut, held_out, labelled_sample, per_batch, utf8
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Words count whole and by their first letters, so that rare forms of a known stem tell, too.
-STEMS = (4, 6)
+STEM = 5
 #: Examples in one block of the index.
-BLOCK = 128
-
-
-def terms_of(words: set[str]) -> set[str]:
-    """Whole words, and the beginnings of longer ones, marked with a star."""
-    return words.union(*({f"{w[:n]}*" for w in words if len(w) > n} for n in STEMS))
+BLOCK = 512
+#: Terms that at least one in so many examples has are kept as whole rows.
+COMMON = 16
+#: Weight of the share of label 1 in a vote, where an equal text has 20, and texts that are scored together.
+PRIOR, TOGETHER = 1.0, 256
+#: Bins of votes in the calibration.
+BINS = 50
+#: Telling terms that are named as evidence at most.
+NAMED = 20
+
+
+def terms_of(text: str) -> Counter:
+    """How often each word occurs, and each beginning of longer ones, marked with a star."""
+    words = Counter(WORD.findall(text.lower()))
+    out = Counter(words)
+    for w, times in words.items():
+        if len(w) > STEM:
+            out[w[:STEM] + "*"] += times
+    return out
 
 
 @dataclass
 class Settings:
     #: Labelled rows that are learnt from at most, about: a hash of doc_id picks them.
-    examples: int = 20_000
-    #: Terms of the vector space at most; the most telling ones are taken.
-    terms: int = 2048
-    #: A term must occur in so many examples and be so many times as frequent under one label.
-    support: int = 4
-    ratio: float = 4.0
-    #: Chance that any term at all is taken without telling something.
-    level: float = 0.05
+    examples: int = 4096
+    #: A term's likelihood-ratio statistic between the labels from which on it weighs more, and by how much.
+    chance: float = 12.0
+    telling: float = 6.0
     neighbours: int = 15
     threshold: float = 0.7
 
@@ -53,54 +65,82 @@ class Index:
     """Inverted index over unit vectors, in blocks of examples."""
 
     terms: dict[str, int]
+    #: Weight of a term that occurs once.
     idf: np.ndarray
     labels: np.ndarray
     ids: np.ndarray
     #: For each term and block the largest weight.
     peaks: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
-    #: For each block: its terms in order, where their postings start, positions and weights.
+    #: For each block: its rarer terms in order, where their postings start, positions and weights.
     postings: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)
+    #: The row of each common term in ``rows``, or -1, and their weights in all examples.
+    common: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    rows: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
 
     @property
     def block_count(self) -> int:
         return -(-len(self.labels) // BLOCK)
 
-    def vector(self, counts: dict[int, int]) -> tuple[list[int], np.ndarray]:
-        """Terms and weights of a unit vector: (1 + log tf) idf."""
-        terms = sorted(counts)
-        w = np.array([(1 + math.log(counts[t])) * self.idf[t] for t in terms])
-        return terms, w / np.sqrt((w**2).sum()) if len(w) else w
-
-    def fill(self, vectors: list[tuple[list[int], np.ndarray]]) -> None:
-        self.peaks = np.zeros((len(self.terms), self.block_count))
+    def vector(self, terms: np.ndarray, times: np.ndarray, unseen: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """Terms and weights of a unit vector: (1 + log tf) idf; ``unseen`` is the squared weight of terms outside the index."""
+        w = (1 + np.log(times)) * self.idf[terms]
+        return terms, w / math.sqrt((w**2).sum() + unseen) if len(w) else w
+
+    def fill(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        """Postings of all examples in turn."""
+        sizes = [len(t) for t, _ in vectors]
+        held = np.bincount(np.concatenate([t for t, _ in vectors]), minlength=len(self.terms)) if vectors else np.zeros(len(self.terms), np.int64)
+        often = np.flatnonzero(held * COMMON > len(vectors))
+        self.common = np.full(len(self.terms), -1, np.int64)
+        self.common[often] = np.arange(len(often))
+        self.rows = np.zeros((len(often), len(vectors)))
+        self.peaks = np.zeros((len(self.terms), self.block_count), np.float64)
         for block in range(self.block_count):
-            some = vectors[block * BLOCK : (block + 1) * BLOCK]
-            terms = np.array([t for ts, _ in some for t in ts], np.int64)
-            place = np.repeat(np.arange(len(some)), [len(ts) for ts, _ in some])
+            low = block * BLOCK
+            some = vectors[low : low + BLOCK]
+            terms = np.concatenate([t for t, _ in some])
+            place = np.repeat(np.arange(len(some)), sizes[low : low + BLOCK])
             weights = np.concatenate([w for _, w in some])
+            np.maximum.at(self.peaks[:, block], terms, weights)
+            row = self.common[terms]
+            self.rows[row[row >= 0], low + place[row >= 0]] = weights[row >= 0]
+            terms, place, weights = terms[row < 0], place[row < 0], weights[row < 0]
             order = np.argsort(terms, kind="stable")
-            terms, place, weights = terms[order], place[order], weights[order]
-            names, starts = np.unique(terms, return_index=True)
-            self.peaks[names, block] = np.maximum.reduceat(weights, starts)
-            self.postings.append((names, np.append(starts, len(terms)), place, weights))
-
-    def nearest(self, terms: list[int], weights: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and cosines of the k nearest examples with a cosine above zero, ties to the lower row."""
-        asked = np.array(terms, np.int64)
-        bounds = weights @ self.peaks[asked]
-        rows, scores, floor = np.zeros(0, np.int64), np.zeros(0), 0.0
+            names, starts = np.unique(terms[order], return_index=True)
+            self.postings.append((names, np.append(starts, len(terms)), place[order], weights[order]))
+
+    def bases(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """What common terms add to the cosine of each vector with each example."""
+        asked = np.zeros((len(vectors), len(self.rows)))
+        for i, (terms, weights) in enumerate(vectors):
+            row = self.common[terms]
+            asked[i, row[row >= 0]] = weights[row >= 0]
+        return asked @ self.rows
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1, base: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+        """Rows and cosines of the k nearest examples with a cosine above zero, ties to the lower row; and the blocks walked."""
+        if base is None:
+            base = self.bases([(terms, weights)])[0]
+        rare = self.common[terms] < 0
+        terms, weights = terms[rare], weights[rare]
+        # the best of a block's common part, and all that its rarer terms can add
+        bounds = np.maximum.reduceat(base, np.arange(0, len(base), BLOCK)) + weights @ self.peaks[terms]
+        rows, scores, floor, walked = np.zeros(0, np.int64), np.zeros(0), 0.0, 0
         for block in np.argsort(-bounds, kind="stable").tolist():
             # at equal bounds a lower row may still be waiting, so only a smaller bound ends the walk
             if bounds[block] <= 0 or len(rows) >= k and bounds[block] < floor - 1e-12:
                 break
+            walked += 1
             names, starts, place, values = self.postings[block]
-            at = np.minimum(np.searchsorted(names, asked), len(names) - 1)
-            found = names[at] == asked
-            low, high = starts[at[found]], starts[at[found] + 1]
-            sizes = high - low
-            picks = np.arange(sizes.sum()) + np.repeat(low - (np.cumsum(sizes) - sizes), sizes)
-            got = np.bincount(place[picks], weights=values[picks] * np.repeat(weights[found], sizes), minlength=BLOCK)
-            hit = np.flatnonzero(got > 0)
+            got = base[block * BLOCK : (block + 1) * BLOCK]
+            if len(names) and len(terms):
+                at = np.minimum(np.searchsorted(names, terms), len(names) - 1)
+                found = names[at] == terms
+                low, high = starts[at[found]], starts[at[found] + 1]
+                sizes = high - low
+                picks = np.arange(sizes.sum()) + np.repeat(low - (np.cumsum(sizes) - sizes), sizes)
+                got = got + np.bincount(place[picks], weights=values[picks] * np.repeat(weights[found], sizes), minlength=len(got))
+            hit = np.flatnonzero(got > max(0.0, floor - 1e-9))
             new = block * BLOCK + hit
             keep = new != skip
             rows, scores = np.append(rows, new[keep]), np.append(scores, got[hit[keep]])
@@ -110,70 +150,69 @@ class Index:
             if len(rows) >= k:
                 floor = scores.min()
         best = np.lexsort((rows, -np.round(scores, 12)))[:k]
-        return rows[best], scores[best]
+        return rows[best], scores[best], walked
 
 
 @dataclass
 class Model:
     index: Index
     settings: Settings
-    #: Calibration: votes at the knots and the chances there; and the chance without any telling term.
+    #: Calibration: votes at the knots and the chances there; and the chance without any neighbour.
     knots: np.ndarray
     chances: np.ndarray
     silent: float
-    memo: dict = field(default_factory=dict)
-
-    def counts(self, text: bytes) -> dict[int, int]:
-        """How often each telling term occurs."""
-        known = self.index.terms
-        words = WORD.findall(text.decode().lower())
-        distinct = set(words)
-        whole = known.keys() & distinct
-        begun = {n: stems.keys() & {w[:n] for w in distinct} for n, stems in self.stems.items()}
-        if not whole and not any(begun.values()):
-            return {}
-        tally = Counter(words)
-        out = Counter({known[w]: tally[w] for w in whole})
-        for n, hits in begun.items():
-            if hits:
-                for w, times in tally.items():
-                    if len(w) > n and w[:n] in hits:
-                        out[self.stems[n][w[:n]]] += times
-        return dict(out)
+    share: float = 0.5
+    #: Squared weight of a term that no example has: no cosine meets it, but it makes its text longer.
+    unseen: float = 0.0
+    #: Terms that tell the labels apart.
+    telling: frozenset[int] = frozenset()
+
+    def counts(self, text: bytes) -> tuple[np.ndarray, np.ndarray, float]:
+        """Terms of the index in the text, in order, how often each occurs, and the squared weight of all others."""
+        tally = terms_of(text.decode())
+        at = np.fromiter(map(self.index.terms.get, tally, repeat(-1)), np.int32, len(tally))
+        times = np.fromiter(tally.values(), np.int32, len(tally))
+        known = at >= 0
+        others = float(((1 + np.log(times[~known])) ** 2).sum()) * self.unseen
+        order = np.argsort(at[known], kind="stable")
+        return at[known][order], times[known][order], others
+
+    def votes(self, vectors: list[tuple[np.ndarray, np.ndarray]], own: list[int] | None = None) -> list[tuple[float, np.ndarray, np.ndarray] | None]:
+        """Vote, rows and cosines of the neighbours of each vector; None without any. Example ``own`` has no vote.
+
+        Far neighbours leave the vote near the share of label 1.
+        """
+        out = []
+        for low in range(0, len(vectors), TOGETHER):
+            some = vectors[low : low + TOGETHER]
+            for i, (v, base) in enumerate(zip(some, self.index.bases(some), strict=True)):
+                rows, cosines, _ = self.index.nearest(*v, self.settings.neighbours, -1 if own is None else own[low + i], base)
+                near = 1 / (0.05 + np.sqrt(np.maximum(0, 2 - 2 * cosines)))  # the distance of unit vectors
+                vote = (near @ self.index.labels[rows] + PRIOR * self.share) / (near.sum() + PRIOR)
+                out.append((float(vote), rows, cosines) if len(rows) else None)
+        return out
+
+    def scores(self, texts: list[bytes]) -> list[tuple[float, list[int], list[float], list[str]]]:
+        """Of each text the chance of label 1, the neighbours' ids and cosines, and the telling terms found."""
+        counts = [self.counts(t) for t in texts]
+        if not len(self.index.labels):
+            return [(self.silent, [], [], [])] * len(texts)
+        out = []
+        for (found, *_), voted in zip(counts, self.votes([self.index.vector(*c) for c in counts]), strict=True):
+            told = sorted(self.telling.intersection(found.tolist()), key=lambda t: (-self.index.idf[t], t))[:NAMED]
+            evidence = [self.names[t] for t in told]
+            if voted is None:
+                out.append((self.silent, [], [], evidence))
+                continue
+            chance = float(np.interp(voted[0], self.knots, self.chances))
+            out.append((chance, self.index.ids[voted[1]].tolist(), np.round(voted[2], 9).tolist(), evidence))
+        return out
 
     @property
-    def stems(self) -> dict[int, dict[str, int]]:
-        if not hasattr(self, "_stems"):
-            self._stems = {n: {t[:-1]: i for t, i in self.index.terms.items() if t[-1] == "*" and len(t) == n + 1} for n in STEMS}
-        return self._stems
-
-    def vote(self, counts: dict[int, int], skip: int = -1) -> tuple[float, np.ndarray, np.ndarray] | None:
-        terms, weights = self.index.vector(counts)
-        rows, cosines = self.index.nearest(terms, weights, self.settings.neighbours, skip)
-        if not len(rows):
-            return None
-        near = 1 / (0.05 + np.sqrt(np.maximum(0, 2 - 2 * cosines)))  # the distance of unit vectors
-        return float((near * self.index.labels[rows]).sum() / near.sum()), rows, cosines
-
-    def score(self, text: bytes) -> tuple[float, list[int], list[float], list[str]]:
-        """Chance of label 1, the neighbours' ids and cosines, and the telling terms found."""
-        counts = self.counts(text)
-        if not counts:
-            return self.silent, [], [], []
-        key = tuple(sorted(counts.items()))
-        found = self.memo.get(key)
-        if found is None:
-            if len(self.memo) > 50_000:
-                self.memo.clear()
-            voted = self.vote(counts)
-            names = [t for t, i in self.index.terms.items() if i in counts]
-            if voted is None:
-                found = self.silent, [], [], sorted(names)
-            else:
-                chance = float(np.interp(voted[0], self.knots, self.chances))
-                found = chance, self.index.ids[voted[1]].tolist(), np.round(voted[2], 9).tolist(), sorted(names)
-            self.memo[key] = found
-        return found
+    def names(self) -> dict[int, str]:
+        if not hasattr(self, "_names"):
+            self._names = {i: t for t, i in self.index.terms.items() if i in self.telling}
+        return self._names
 
 
 def _tally(rows: DataFrame, only: dict[str, int] | None = None) -> DataFrame:
@@ -186,8 +225,7 @@ def _tally(rows: DataFrame, only: dict[str, int] | None = None) -> DataFrame:
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             bad, good = Counter(), Counter()
             for label, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
-                words = set(WORD.findall(text.decode().lower()))
-                terms = terms_of(words)
+                terms = terms_of(text.decode()).keys()
                 (bad if label else good).update(terms if known is None else known.keys() & terms)
             terms = list(bad | good)
             columns = [pa.array(terms, pa.string()), *[pa.array([c[t] for t in terms], pa.int64()) for c in (bad, good)]]
@@ -210,59 +248,63 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) ->
     sample = cut(labelled_sample(docs, labels, "toxic", s.examples))
     totals = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     bad, good = totals.get(1, 0), totals.get(0, 0)
-    seen = _tally(sample.select("label", "text"))
     all_rows = bad + good
-    b, g = F.col("bad"), F.col("good")
-    of_bad, of_good = (b + 0.5) / (bad + 1), (g + 0.5) / (good + 1)
     share = bad / all_rows if all_rows else 0.5
-    held = b + g
-    # likelihood ratio against terms that fall on labels by chance, at a level shared by all terms tried
-    part = lambda n, rate: F.when(n > 0, n * F.log(n / (held * rate))).otherwise(0.0)
+    b, g = F.col("bad"), F.col("good")
+    # likelihood ratio against terms that fall on labels by chance
+    part = lambda n, rate: F.when(n > 0, n * F.log(n / ((b + g) * rate))).otherwise(0.0)
     gain = 2 * (part(b, max(share, 1e-9)) + part(g, max(1 - share, 1e-9)))
-    seen = cut(seen.where(held >= s.support))
-    needed = 2 * math.log(max(1, seen.count()) / s.level)
-    telling = ((of_bad >= s.ratio * of_good) | (of_good >= s.ratio * of_bad)) & (gain >= needed)
-    picked = seen.where(telling).orderBy(gain.desc(), "term").limit(s.terms).collect() if bad and good else []
-    terms = {r["term"]: i for i, r in enumerate(sorted(picked, key=lambda r: r["term"]))}
+    # the terms of a bounded sample
+    seen = _tally(sample.select("label", "text")).select("term", gain.alias("gain")).toPandas().sort_values("term")
+    terms = {t: i for i, t in enumerate(seen["term"])}
 
-    # document frequencies of the chosen terms over the whole table
+    # document frequencies of these terms over the whole table
     number = docs.count()
-    frequency = np.zeros(len(terms))
+    frequency = np.ones(len(terms))
     if terms:
         everything = docs.select(F.lit(0).alias("label"), F.col("text").cast("string").alias("text"))
-        for r in _tally(everything, terms).collect():
-            frequency[terms[r["term"]]] = r["good"]
-    idf = np.log((1 + number) / (1 + frequency)) + 1
+        counted = _tally(everything, terms).toPandas()
+        frequency[[terms[t] for t in counted["term"]]] = counted["good"]
+    over = np.sqrt(np.maximum(0, seen["gain"].to_numpy(float) - s.chance))
+    weight = (np.log((1 + number) / (1 + frequency)) + 1) * (1 + s.telling * over)
 
-    index = Index(terms, idf, np.zeros(0, np.int64), np.zeros(0, np.int64))
-    model = Model(index, s, np.array([0.0, 1.0]), np.array([0.0, 1.0]), (bad + 0.5) / (all_rows + 1))
+    index = Index(terms, weight, np.zeros(0, np.int64), np.zeros(0, np.int64))
+    model = Model(index, s, np.array([0.0, 1.0]), np.array([0.0, 1.0]), (bad + 0.5) / (all_rows + 1), share)
     if not terms:
         return model
+    model.telling = frozenset(np.flatnonzero(over > 0).tolist())
+    model.unseen = (math.log((1 + number) / 2) + 1) ** 2
     sent = spark.sparkContext.broadcast(model)
 
     def examples():
         known = sent.value
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            # every term of an example is in the index
             rows = [known.counts(t) for t in utf8(batch.column(2))]
-            pairs = [[(k, v) for k, v in sorted(c.items())] for c in rows]
-            kind = pa.list_(pa.struct([("t", pa.int32()), ("n", pa.int32())]))
-            listed = [[{"t": k, "n": v} for k, v in p] for p in pairs]
-            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(listed, kind)], names=["doc_id", "label", "c"])
+            lists = [pa.array([r[k] for r in rows], pa.list_(pa.int32())) for k in (0, 1)]
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], names=["doc_id", "label", "t", "n"])
 
         return step
 
-    # bounded: only telling terms of at most ``examples`` rows
-    found = per_batch(sample.select("doc_id", F.col("label").cast("int").alias("label"), "text"), examples, "doc_id long, label int, c array<struct<t:int,n:int>>").collect()
-    # rows of like terms share blocks, which keeps their bounds low
-    found.sort(key=lambda r: ([tuple(x) for x in r["c"]], r["doc_id"]))
-    silent = [r["label"] for r in found if not r["c"]]
-    model.silent = (sum(silent) + 0.5) / (len(silent) + 1)
-    told = [r for r in found if r["c"]]
-    index.labels = np.array([r["label"] for r in told], np.int64)
-    index.ids = np.array([r["doc_id"] for r in told], np.int64)
-    vectors = [{x["t"]: x["n"] for x in r["c"]} for r in told]
-    index.fill([index.vector(v) for v in vectors])
+    # bounded: at most ``examples`` rows
+    rows = sample.select("doc_id", F.col("label").cast("int").alias("label"), "text")
+    found = per_batch(rows, examples, "doc_id long, label int, t array<int>, n array<int>").toArrow().sort_by("doc_id").combine_chunks()
+    sent.destroy()
+    ids, labels = (found[c].to_numpy() for c in ("doc_id", "label"))
+    held = found["n"].combine_chunks()
+    ends = np.cumsum([0, *pa.compute.list_value_length(held).to_pylist()])
+    all_terms, times = found["t"].combine_chunks().flatten().to_numpy(), held.flatten().to_numpy()
+    vectors = [index.vector(all_terms[a:b], times[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    told = [i for i, (t, _) in enumerate(vectors) if len(t)]
+    silent = labels[[i for i, (t, _) in enumerate(vectors) if not len(t)]]
+    if len(silent):
+        model.silent = float((silent.sum() + 0.5) / (len(silent) + 1))
+    # rows of one strongest term share blocks, which keeps the bounds of the others low
+    told.sort(key=lambda i: (int(vectors[i][0][vectors[i][1].argmax()]), int(ids[i])))
+    index.labels, index.ids = labels[told].astype(np.int64), ids[told]
+    vectors = [vectors[i] for i in told]
+    index.fill(vectors)
     sent = spark.sparkContext.broadcast((model, vectors))
 
     def judged():
@@ -270,8 +312,9 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) ->
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             # each example is judged without itself
-            voted = [(row, known.vote(vectors[row], skip=row)) for row in batch.column(0).to_pylist()]
-            voted = [(v[0], int(known.index.labels[row])) for row, v in voted if v is not None]
+            own = batch.column(0).to_pylist()
+            voted = known.votes([vectors[row] for row in own], own)
+            voted = [(v[0], int(known.index.labels[row])) for row, v in zip(own, voted, strict=True) if v is not None]
             columns = [pa.array([v for v, _ in voted], pa.float64()), pa.array([m for _, m in voted], pa.int64())]
             return pa.RecordBatch.from_arrays(columns, names=["vote", "mark"])
 
@@ -283,18 +326,20 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) ->
 
 
 def calibrate(votes: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Chance of label 1 as a non-decreasing function of the vote: pooled adjacent violators over ten bins."""
+    """Chance of label 1 as a non-decreasing function of the vote: pooled adjacent violators over bins."""
     if not len(votes):
         return np.array([0.0, 1.0]), np.array([0.0, 1.0])
     pools: list[list[float]] = []
-    place = np.minimum((votes * 10).astype(int), 9)
-    for k in range(10):
+    place = np.minimum((votes * BINS).astype(int), BINS - 1)
+    for k in range(BINS):
         if (here := place == k).any():
             pools.append([votes[here].sum(), marks[here].sum(), here.sum()])
             while len(pools) > 1 and pools[-2][1] / pools[-2][2] >= pools[-1][1] / pools[-1][2]:
                 last = pools.pop()
                 pools[-1] = [a + b for a, b in zip(pools[-1], last, strict=True)]
-    return np.array([p[0] / p[2] for p in pools]), np.array([(p[1] + 0.25) / (p[2] + 0.5) for p in pools])
+    # the ends are anchored, so that votes beyond the outer pools still differ
+    knots, chances = [p[0] / p[2] for p in pools], [(p[1] + 0.25) / (p[2] + 0.5) for p in pools]
+    return np.array([0.0, *knots, 1.0]), np.array([0.0, *chances, 1.0])
 
 
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, neighbours array<long>, cosines array<double>, evidence array<string>"
@@ -303,9 +348,10 @@ SCHEMA = "doc_id long, held_out boolean, score double, predicted int, neighbours
 def score(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
     """Score whole texts: one row for each row of ``docs``, whatever its doc_id.
 
-    Null and empty texts, and texts without telling terms, get the share of
-    label 1 among such examples. ``neighbours`` and ``cosines`` are the labelled
-    rows that voted, nearest first, and ``evidence`` the telling terms.
+    Null and empty texts, and others without any term of an example, get the
+    share of label 1 among such examples, or among all. ``neighbours`` and
+    ``cosines`` are the labelled rows that voted, nearest first, and
+    ``evidence`` the strongest telling terms.
     """
     sent = spark.sparkContext.broadcast(model)
 
@@ -314,7 +360,7 @@ def score(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
         threshold = known.settings.threshold
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            rows = [known.score(t) for t in utf8(batch.column(2))]
+            rows = known.scores(utf8(batch.column(2)))
             columns = [
                 batch.column(0),
                 batch.column(1),
@@ -343,7 +389,7 @@ def keep(docs: DataFrame, model: Model) -> DataFrame:
         threshold = known.settings.threshold
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            good = [known.score(t)[0] < threshold for t in utf8(batch.column(place))]
+            good = [r[0] < threshold for r in known.scores(utf8(batch.column(place)))]
             return batch.filter(pa.array(good))
 
         return step
