@@ -328,11 +328,13 @@ def test_toxicity_index_is_exact():
     assert (index.common >= 0).any() and (index.common < 0).any()
     dense = np.zeros((n, size))
     for i, (t, w) in enumerate(vectors):
-        dense[i, t] = w
+        dense[i, t] = w.astype(np.float32)
     walked = []
     for row in range(0, n, 37):
         rows, cosines, blocks = index.nearest(*vectors[row], 12, skip=row)
-        exact = np.round(dense @ dense[row], 12)
+        asked = np.zeros(size)
+        asked[vectors[row][0]] = vectors[row][1]
+        exact = np.round(dense @ asked, 12)
         exact[row] = -1
         best = np.lexsort((np.arange(n), -exact))[:12]
         assert rows.tolist() == [b for b in best if exact[b] > 0]

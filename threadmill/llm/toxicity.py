@@ -39,20 +39,21 @@ BINS = 50
 NAMED = 20
 
 
-def terms_of(text: str) -> Counter:
+def terms_of(text: str) -> dict[str, int]:
     """How often each word occurs, and each beginning of longer ones, marked with a star."""
     words = Counter(WORD.findall(text.lower()))
-    out = Counter(words)
+    out = dict(words)
     for w, times in words.items():
         if len(w) > STEM:
-            out[w[:STEM] + "*"] += times
+            stem = w[:STEM] + "*"
+            out[stem] = out.get(stem, 0) + times
     return out
 
 
 @dataclass
 class Settings:
     #: Labelled rows that are learnt from at most, about: a hash of doc_id picks them.
-    examples: int = 4096
+    examples: int = 2048
     #: A term's likelihood-ratio statistic between the labels from which on it weighs more, and by how much.
     chance: float = 12.0
     telling: float = 6.0
@@ -87,27 +88,27 @@ class Index:
         return terms, w / math.sqrt((w**2).sum() + unseen) if len(w) else w
 
     def fill(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        """Postings of all examples in turn."""
+        """Postings of all examples in turn; their weights are kept as 32-bit floats and added up as 64-bit ones."""
         sizes = [len(t) for t, _ in vectors]
         held = np.bincount(np.concatenate([t for t, _ in vectors]), minlength=len(self.terms)) if vectors else np.zeros(len(self.terms), np.int64)
         often = np.flatnonzero(held * COMMON > len(vectors))
         self.common = np.full(len(self.terms), -1, np.int64)
         self.common[often] = np.arange(len(often))
-        self.rows = np.zeros((len(often), len(vectors)))
-        self.peaks = np.zeros((len(self.terms), self.block_count), np.float64)
+        self.rows = np.zeros((len(often), len(vectors)), np.float32)
+        self.peaks = np.zeros((len(self.terms), self.block_count), np.float32)
         for block in range(self.block_count):
             low = block * BLOCK
             some = vectors[low : low + BLOCK]
             terms = np.concatenate([t for t, _ in some])
             place = np.repeat(np.arange(len(some)), sizes[low : low + BLOCK])
-            weights = np.concatenate([w for _, w in some])
+            weights = np.concatenate([w for _, w in some]).astype(np.float32)
             np.maximum.at(self.peaks[:, block], terms, weights)
             row = self.common[terms]
             self.rows[row[row >= 0], low + place[row >= 0]] = weights[row >= 0]
             terms, place, weights = terms[row < 0], place[row < 0], weights[row < 0]
             order = np.argsort(terms, kind="stable")
             names, starts = np.unique(terms[order], return_index=True)
-            self.postings.append((names, np.append(starts, len(terms)), place[order], weights[order]))
+            self.postings.append((names.astype(np.int32), np.append(starts, len(terms)).astype(np.int32), place[order].astype(np.int16), weights[order]))
 
     def bases(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """What common terms add to the cosine of each vector with each example."""
@@ -115,7 +116,7 @@ class Index:
         for i, (terms, weights) in enumerate(vectors):
             row = self.common[terms]
             asked[i, row[row >= 0]] = weights[row >= 0]
-        return asked @ self.rows
+        return asked @ self.rows.astype(np.float64)
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1, base: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
         """Rows and cosines of the k nearest examples with a cosine above zero, ties to the lower row; and the blocks walked."""
@@ -136,7 +137,7 @@ class Index:
             if len(names) and len(terms):
                 at = np.minimum(np.searchsorted(names, terms), len(names) - 1)
                 found = names[at] == terms
-                low, high = starts[at[found]], starts[at[found] + 1]
+                low, high = starts[at[found]].astype(np.int64), starts[at[found] + 1].astype(np.int64)
                 sizes = high - low
                 picks = np.arange(sizes.sum()) + np.repeat(low - (np.cumsum(sizes) - sizes), sizes)
                 got = got + np.bincount(place[picks], weights=values[picks] * np.repeat(weights[found], sizes), minlength=len(got))
@@ -205,7 +206,7 @@ class Model:
                 out.append((self.silent, [], [], evidence))
                 continue
             chance = float(np.interp(voted[0], self.knots, self.chances))
-            out.append((chance, self.index.ids[voted[1]].tolist(), np.round(voted[2], 9).tolist(), evidence))
+            out.append((chance, self.index.ids[voted[1]].tolist(), np.round(np.minimum(voted[2], 1.0), 9).tolist(), evidence))
         return out
 
     @property
@@ -225,8 +226,9 @@ def _tally(rows: DataFrame, only: dict[str, int] | None = None) -> DataFrame:
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             bad, good = Counter(), Counter()
             for label, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
-                terms = terms_of(text.decode()).keys()
-                (bad if label else good).update(terms if known is None else known.keys() & terms)
+                terms = set(WORD.findall(text.decode().lower()))
+                terms |= {w[:STEM] + "*" for w in terms if len(w) > STEM}
+                (bad if label else good).update(terms if known is None else filter(known.__contains__, terms))
             terms = list(bad | good)
             columns = [pa.array(terms, pa.string()), *[pa.array([c[t] for t in terms], pa.int64()) for c in (bad, good)]]
             return pa.RecordBatch.from_arrays(columns, names=["term", "bad", "good"])
@@ -305,6 +307,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) ->
     index.labels, index.ids = labels[told].astype(np.int64), ids[told]
     vectors = [vectors[i] for i in told]
     index.fill(vectors)
+    vectors = [(t, w.astype(np.float32)) for t, w in vectors]
     sent = spark.sparkContext.broadcast((model, vectors))
 
     def judged():
@@ -321,6 +324,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) ->
         return step
 
     rows = per_batch(spark.range(len(told)), judged, "vote double, mark long").collect()
+    sent.destroy()
     model.knots, model.chances = calibrate(np.array([r["vote"] for r in rows]), np.array([r["mark"] for r in rows]))
     return model
 
