@@ -106,6 +106,15 @@ def test_rows_without_id_or_rows(spark):
     assert simhash.groups(docs(spark, [])).count() == 0
 
 
+def test_texts_of_one_id_are_no_copies(spark):
+    import threadmill.llm.neardup as near
+
+    rows = [(1, "one two three four five six"), (1, "entirely other words stand in here"), (1, "one two three four five six"), (2, "one two three four five six")]
+    want = sorted({rows[0][1], rows[1][1]})
+    for kept in (simhash.keep_one(docs(spark, rows)), near.keep_one(docs(spark, rows))):
+        assert sorted(r["text"] for r in kept.collect()) == want
+
+
 # Near copies
 
 

@@ -216,9 +216,11 @@ def groups(docs: DataFrame, width: int = 5, bits: int = 4) -> DataFrame:
 def keep_one(docs: DataFrame, width: int = 5, bits: int = 4) -> DataFrame:
     """``docs`` with one document of each group, that of the smallest doc_id.
 
-    Repeated rows of that id count once; rows without an id are kept, since no
-    group can name them.
+    Repeated rows of that id count once, but other texts of it stay, since they
+    may be of another group; rows without an id are kept, since no group can
+    name them.
     """
     first = groups(docs, width, bits).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    named = docs.withColumn("__text", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))).join(first, "doc_id", "left_semi")
+    named = named.dropDuplicates(["doc_id", "__text"])
     return named.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
