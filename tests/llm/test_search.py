@@ -6,9 +6,11 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from threadmill.llm import chat, topk, urlgraph, vptree
+from threadmill.llm import queries as llm_queries
 
 VECTORS = "vec_id long, embedding array<float>, dim int"
 
@@ -71,6 +73,50 @@ def test_products_are_exact(spark, scale):
     assert topk.search(frame.limit(0), frame.limit(0)).count() == 0
 
 
+def counted(monkeypatch, module):
+    """Collects the shares of (query, shard) pairs that a search keeps."""
+    shares, plain = [], module.routed
+
+    def routed(rows, asked, shards, able, block):
+        kept = asked.join(shards.withColumnRenamed("dim", "d"), F.col("dim") == F.col("d")).where(able).count()
+        shares.append(kept / (asked.count() * shards.count()))
+        return plain(rows, asked, shards, able, block)
+
+    monkeypatch.setattr(module, "routed", routed)
+    return shares
+
+
+def test_clustered_vectors_go_to_few_shards(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    points = np.round(rng.normal(size=(12, 6))[rng.integers(0, 12, 2400)] * 20 + rng.normal(size=(2400, 6)), 2)
+    rows = [(i, [float(x) for x in p], 0) for i, p in enumerate(points)]
+    frame, shares = spark.createDataFrame(rows, VECTORS), counted(monkeypatch, vptree)
+    got = listed(vptree.search(vptree.build(frame, shard_rows=100), frame.where("vec_id % 100 = 0"), 10, 1.0, query_rows=3))
+    plain = usable(rows, False)
+    want = first(plain, [r for r in plain if r[0] % 100 == 0], 10, lambda a, b: float(np.sqrt(((a - b) ** 2).sum())), False)
+    assert [g[:3] for g in got] == [w[:3] for w in want] and shares[0] < 0.5
+
+
+def test_short_vectors_are_not_sent(spark, monkeypatch):
+    rng = np.random.default_rng(10)
+    points = np.round(rng.normal(size=(1500, 4)) * rng.lognormal(0, 1.5, size=(1500, 1)), 2)
+    rows = [(i, [float(x) for x in p], 0) for i, p in enumerate(points)]
+    frame, shares = spark.createDataFrame(rows, VECTORS), counted(monkeypatch, topk)
+    got = listed(topk.search(frame, frame.where("vec_id % 50 = 0"), 5))
+    whole = [(i, [int(np.floor(x * 256)) for x in v]) for i, v in usable(rows, True)]
+    assert got == first(whole, [r for r in whole if r[0] % 50 == 0], 5, lambda a, b: sum(x * y for x, y in zip(a, b)), True) and shares[0] < 0.5
+
+
+@pytest.mark.parametrize("peak", [300, 1 << 40])
+def test_few_pairs_are_multiplied_alike(peak):
+    rng = np.random.default_rng(11)
+    a, b = rng.integers(-peak, peak, (9, 5)).astype(float), rng.integers(-peak, peak, (40, 5)).astype(float)
+    for share in (0.0, 0.05, 0.9):
+        able = rng.random((9, 40)) < share
+        got = topk.pair_products(a, b, able)
+        assert (got == np.where(able, topk.products(a, b), np.iinfo(np.int64).min)).all()
+
+
 @pytest.mark.parametrize("dims", [1, 2, 6])
 def test_products_of_one_strong_negative_coordinate(spark, dims):
     rng = np.random.default_rng(6)
@@ -163,13 +209,15 @@ def test_link_graph_equals_brute_force(spark):
         src, to = rng.choice(hosts), rng.choices(hosts, k=3)
         edges |= {(src, t) for t in to if t != src}
         pages.append((i, f"HTTPS://{src.upper()}/ok/{i}" if src == "h3.org" else f"http://{src}/{i}?q=://x/", "".join(f'<a href="//{t}/p">x</a><a href="/own">y</a>' for t in to), "clash"))
-    pages += [(200, None, None, ""), (201, "no scheme", "", ""), (202, "http://", "<a href=>", ""), (203, "x://H3.org#/ok/", None, "")]
+    pages += [pages[0], (200, None, None, ""), (201, "no scheme", "", ""), (202, "http://", "<a href=>", ""), (203, "x://H3.org#/ok/", None, "")]
     rules = [urlgraph.Rule("h3.org", "/ok/", "allow"), urlgraph.Rule("org", "/7", "block"), urlgraph.Rule("h1.org", "/7", "allow")]
-    s = urlgraph.Settings(rounds=6, threshold=0.4, blocked_labels=("bad",))
+    rules += [urlgraph.Rule("bad.net", "/", "block"), urlgraph.Rule("bad.org", "/", "block")]
+    s = urlgraph.Settings(rounds=6, tolerance=0, threshold=0.4)
     frame = spark.createDataFrame(pages, "page_id long, url string, html string, trust string")
     got = {r["page_id"]: r for r in urlgraph.judge(frame, rules, s).collect()}
     bad = {h for h in hosts if "bad" in h.split(".")}
     named = {i: (got[i]["host"], got[i]["path"]) for i in got}
+    assert {named[i][0] for i, r in got.items() if r["rule"] is None and r["verdict"] == "block"} - bad
     good = {h for i, (h, p) in named.items() if (h == "h3.org" and p.startswith("/ok/")) or (h == "h1.org" and p.startswith("/7"))} - bad
     present = {h for h, _ in named.values()}
     trust, distrust = plain_ranks(good, edges, s), plain_ranks(bad & present, {(b, a) for a, b in edges}, s)
@@ -180,6 +228,37 @@ def test_link_graph_equals_brute_force(spark):
             assert r["verdict"] == ("block" if d > 0 and d >= s.threshold * (t + d) else "allow")
     assert named[200] == named[201] == ("", "") and named[202] == ("", "") and named[203] == ("h3.org", "")
     assert got[7]["rule"] in ("h1.org/7", "org/7", None) and urlgraph.judge(frame.limit(0), rules, s).count() == 0
+    judged = urlgraph.judge(frame, rules, s).select("page_id", "host", "path", "rule", "verdict").collect()
+    assert sorted(map(repr, map(tuple, judged))) == sorted(map(repr, in_duck(urlgraph.oracle(rules, s), pages=frame.toPandas())))
+
+
+def in_duck(sql, **tables):
+    con = pytest.importorskip("duckdb").connect()
+    for name, rows in tables.items():
+        con.register(name, rows)
+    return con.sql(sql).fetchall()
+
+
+def test_distrust_reaches_the_end_of_a_chain(spark):
+    """A farm of 14 hosts, each linking to the next, ends at a blocked one; ten links from it distrust still counts."""
+    pages = [(i, f"http://c{i}.org/x", f"<a href='http://c{i + 1}.org/'>") for i in range(14)] + [(14, "http://c14.org/bad/", ""), (15, "http://free.org/", "")]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = urlgraph.judge(frame, [urlgraph.Rule("c14.org", "/bad", "block")]).collect()
+    assert {r["page_id"]: r["verdict"] for r in got} == {**dict.fromkeys(range(15), "block"), 15: "allow"}
+
+
+@pytest.mark.parametrize("name", sorted(llm_queries.oracle_sql()))
+def test_query_equals_sql(spark, data, name):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    for file in os.listdir(data):
+        if file.endswith(".parquet"):
+            con.execute(f"create view {file[:-8]} as select * from '{data}/{file}'")
+    ours, sql = llm_queries.queries()[name](spark, data).toPandas(), con.sql(llm_queries.oracle_sql()[name]).df()
+    columns = sorted(ours.columns)
+    assert columns == sorted(sql.columns)
+    plain = lambda frame: sorted(map(repr, frame[columns].astype(object).where(frame[columns].notna(), None).itertuples(index=False, name=None)))
+    assert plain(ours) == plain(sql)
 
 
 # Pipeline

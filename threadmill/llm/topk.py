@@ -14,9 +14,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .vectors import best, blocks, in_blocks, matrix, usable
+from .common import cut
+from .vectors import best, matrix, routed, sample, usable
 
-SHARD_ROWS, QUERY_ROWS = 8192, 1024
+SHARD_ROWS, QUERY_ROWS = 8192, 2048
 #: Rows inside a shard that share one local threshold.
 BUCKET = 512
 #: From this local cosine on coordinates prune; so many coordinates are used.
@@ -24,6 +25,8 @@ COORDINATE_COSINE, FOCUS = 0.6, 4
 #: Longest vectors that seed the thresholds.
 SEEDS = 512
 LIMIT = 2.0**53
+#: Pairs are multiplied one by one where fewer than one in so many are left.
+SPARSE = 8
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -40,13 +43,20 @@ def _whole(row: np.ndarray) -> list[int]:
     return [int(x) for x in row]
 
 
-def seeds(vectors: DataFrame, n: int = SEEDS) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Ids and values of the n longest vectors of each dimension (of the commonest eight): any rows give a valid threshold."""
-    dims = [r["dim"] for r in vectors.groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(8).collect()]
-    out = {}
-    for dim in dims:
-        rows = vectors.where(F.col("dim") == dim).orderBy(F.desc("length"), "vec_id").limit(n).select("vec_id", "v").collect()
-        out[dim] = np.array([r["vec_id"] for r in rows], np.int64), np.array([r["v"] for r in rows], np.float64)
+def pair_products(a: np.ndarray, b: np.ndarray, able: np.ndarray) -> np.ndarray:
+    """``products`` where ``able`` is set and the least long elsewhere; few pairs are multiplied one by one."""
+    if able.mean() * SPARSE > 1:
+        return np.where(able, products(a, b), np.iinfo(np.int64).min)
+    out = np.full(able.shape, np.iinfo(np.int64).min)
+    peak = np.abs(a).max(initial=0) * np.abs(b).max(initial=0) * max(1, a.shape[1])
+    i, j = np.nonzero(able)
+    step = max(1, 1_000_000 // max(1, a.shape[1]))
+    for low in range(0, len(i), step):
+        x, y = i[low : low + step], j[low : low + step]
+        if peak < LIMIT:
+            out[x, y] = np.einsum("ij,ij->i", a[x], b[y]).astype(np.int64)
+        else:
+            out[x, y] = [products(a[p : p + 1], b[q : q + 1])[0, 0] for p, q in zip(x, y, strict=True)]
     return out
 
 
@@ -91,9 +101,9 @@ def bucket_top(ids: np.ndarray, points: np.ndarray, own: np.ndarray, queries: np
         columns = np.flatnonzero(able.any(axis=0))
         if not len(columns):
             continue
-        got = products(queries[live], points[part][columns])
         valid = able[:, columns] & (ids[part][columns][None, :] != own[live][:, None])
-        all_scores = np.concatenate([scores[live], np.where(valid, got, np.iinfo(np.int64).min)], axis=1)
+        got = pair_products(queries[live], points[part][columns], valid)
+        all_scores = np.concatenate([scores[live], got], axis=1)
         all_names = np.concatenate([names[live], np.broadcast_to(ids[part][columns], got.shape)], axis=1)
         all_filled = np.concatenate([filled[live], valid], axis=1)
         # by score downwards, which the bitwise complement does without overflow
@@ -115,32 +125,36 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256)
     whole = lambda rows: rows.withColumn("v", F.transform("v", lambda x: F.floor(x * scale).cast("double")))
     length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     rows = whole(usable(vectors, zeros=True)).withColumn("length", length)
-    asked, parts = blocks(whole(usable(queries, zeros=True)), QUERY_ROWS)
-    spark = vectors.sparkSession
-    sent = spark.sparkContext.broadcast(seeds(rows))
+    asked = whole(usable(queries, zeros=True)).withColumn("length", length)
+    sent = vectors.sparkSession.sparkContext.broadcast(sample(rows, SEEDS, F.desc("length")))
 
     def thresholds(batches):
         for block in batches:
             floor = np.full(len(block), -np.inf)
             for dim, at in block.groupby("dim").indices.items():
-                ids, points = sent.value.get(dim, (np.zeros(0, np.int64), np.zeros((0, dim))))
-                if len(ids) > k:  # one of them may be the query itself
+                _, ids, points = sent.value.get(dim, (0, np.zeros(0, np.int64), np.zeros((0, dim))))
+                if len(ids) > k:
                     got = products(matrix(block["q"].iloc[at]), points)
+                    # the query itself, however often it is there
                     got[ids[None, :] == block["query_id"].to_numpy()[at][:, None]] = np.iinfo(np.int64).min
                     floor[at] = np.sort(got, axis=1)[:, -k]
             yield block.assign(floor=floor)
 
-    asked = asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), "dim", "part")
-    asked = asked.mapInPandas(thresholds, "query_id long, q array<double>, dim int, part int, floor double")
+    asked = asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), "dim", F.col("length").alias("q_length"))
+    asked = cut(asked.mapInPandas(thresholds, "query_id long, q array<double>, dim int, q_length double, floor double"))
     # bands of similar length; a band of many rows is dealt out further by a hash
     band = F.floor(F.log2(F.greatest("length", F.lit(1.0))) * 4)
-    sizes = rows.withColumn("band", band).groupBy("dim", "band").agg(F.ceil(F.count("*") / SHARD_ROWS).alias("chunks"))
+    sizes = rows.withColumn("band", band).groupBy("dim", "band")
+    sizes = sizes.agg(F.ceil(F.count("*") / SHARD_ROWS).alias("chunks"), F.max("length").alias("longest"))
     # at most a few thousand bands exist: lengths of doubles span so many powers of two
     dealt = rows.withColumn("band", band).join(F.broadcast(sizes), ["dim", "band"])
     dealt = dealt.withColumn("shard", F.concat_ws(":", "band", F.pmod(F.xxhash64("vec_id", "v"), "chunks"))).select("dim", "shard", "vec_id", "v")
     shards = sizes.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    shards = shards.select("dim", F.concat_ws(":", "band", "chunk").alias("shard"))
-    spread, asked = in_blocks(dealt, asked, shards, parts)
+    shards = shards.select("dim", F.concat_ws(":", "band", "chunk").alias("shard"), "longest")
+    # a band whose longest vector cannot reach the floor at cosine one is not sent to the query
+    most = F.col("q_length") * F.col("longest")
+    able = ~(F.col("floor") > most + 1e-9 * (F.abs("floor") + most + 1))
+    spread, asked = routed(dealt, asked, shards, able, QUERY_ROWS)
 
     def run(rows: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         if rows.empty or block.empty:

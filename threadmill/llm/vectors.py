@@ -29,23 +29,38 @@ def matrix(column: pd.Series) -> np.ndarray:
     return np.array(column.tolist(), np.float64)
 
 
-def blocks(queries: DataFrame, rows: int) -> tuple[DataFrame, int]:
-    """Queries with a column ``part`` that deals them into blocks of about ``rows``, and the number of parts."""
-    parts = max(1, -(-queries.count() // rows))
-    return queries.withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(parts)).cast("int")), parts
+def sample(vectors: DataFrame, n: int, *order: Column) -> dict[int, tuple[int, np.ndarray, np.ndarray]]:
+    """Number of rows, and ids and values of the first n, for each dimension of the commonest eight.
+
+    They only seed bounds and cells, which any rows do validly; other
+    dimensions are searched without. At most 8 n rows reach the driver.
+    """
+    dims = vectors.groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(8).collect()
+    out = {}
+    for dim, count in dims:
+        rows = vectors.where(F.col("dim") == dim).orderBy(*order, "vec_id").limit(n).select("vec_id", "v").collect()
+        out[dim] = count, np.array([r["vec_id"] for r in rows], np.int64), np.array([r["v"] for r in rows], np.float64)
+    return out
 
 
-def in_blocks(left: DataFrame, right: DataFrame, shards: DataFrame, parts: int) -> tuple[DataFrame, DataFrame]:
-    """Every shard beside every block of queries, as two tables with keys dim, shard and part.
+def routed(rows: DataFrame, asked: DataFrame, shards: DataFrame, able: Column, block: int) -> tuple[DataFrame, DataFrame]:
+    """Shards beside the queries that may find something there, as two tables with keys dim, shard and part.
 
-    This is the stated query set against all rows: shards go once to each
-    block of queries, queries once to each shard of their dimension. ``shards``
-    has a row for each (dim, shard).
+    ``shards`` has a row for each (dim, shard) with what ``able`` needs to tell
+    whether a query of that dimension must see the shard. Queries of a shard
+    are dealt into blocks of about ``block``; its rows go once to each block,
+    and a shard that no query needs goes nowhere.
     """
-    spread = left.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     # new names, since both tables come from the same rows
-    sent = right.withColumnRenamed("dim", "of").join(shards.select(F.col("dim").alias("d"), F.col("shard").alias("s")), F.col("of") == F.col("d"))
-    return spread, sent.drop("of").withColumnsRenamed({"d": "dim", "s": "shard"})
+    named = shards.withColumnsRenamed({"dim": "d", "shard": "s"})
+    pairs = asked.join(named, F.col("dim") == F.col("d")).where(able)
+    parts = pairs.groupBy("d", "s").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    spread = rows.join(parts, (F.col("dim") == F.col("d")) & (F.col("shard") == F.col("s")))
+    spread = spread.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(*rows.columns, "part")
+    ours = parts.withColumnsRenamed({"d": "of_dim", "s": "of_shard"})
+    sent = pairs.join(ours, (F.col("d") == F.col("of_dim")) & (F.col("s") == F.col("of_shard")))
+    part = F.pmod(F.xxhash64("query_id", F.lit(3)), F.col("parts")).cast("int").alias("part")
+    return spread, sent.select(*asked.columns, F.col("s").alias("shard"), part)
 
 
 def best(found: DataFrame, k: int, order: Column) -> DataFrame:

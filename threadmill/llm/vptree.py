@@ -3,7 +3,8 @@
 A tree is a table: rows of a shard in heap order, each with the radius that
 halves what lies below it. A search prunes a half when its lower bound, by the
 triangle inequality, times the relaxing factor exceeds the k-th distance so
-far; factor one is exact.
+far; factor one is exact. Shards hold rows near one another, and a query is
+sent only to those that the same bound, from the root's reach, cannot exclude.
 """
 
 from __future__ import annotations
@@ -14,13 +15,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
-from .vectors import best, blocks, in_blocks, matrix, usable
+from .vectors import best, matrix, routed, sample, usable
 
 #: Rows of a shard and queries of a block, about.
-SHARD_ROWS, QUERY_ROWS = 8192, 1024
+SHARD_ROWS, QUERY_ROWS = 8192, 4096
 LEAF = 64
+#: Rows of a dimension that serve as centres of cells and seed a query's bound, at most.
+SEEDS = 512
 
-INDEX = "dim int, shard int, place int, vec_id long, v array<double>, radius double"
+INDEX = "dim int, shard string, place int, vec_id long, v array<double>, radius double, reach double"
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -58,30 +61,49 @@ def arrange(points: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, n
 
 
 def build(vectors: DataFrame, shard_rows: int = SHARD_ROWS, seed: int = 7) -> DataFrame:
-    """Index of all usable rows: dim, shard, place, vec_id, v and radius (null in leaves).
+    """Index of all usable rows: dim, shard, place, vec_id, v, radius (null in leaves) and reach.
 
     Vectors that are null, zero, or hold null or non-finite components take no
-    part. Shards are dealt by a hash of vec_id, so equal vectors spread over
-    them; repeated ids stay repeated.
+    part. Each row goes to the cell of the nearest of a few sampled rows, and a
+    cell of many rows, such as equal ones, is dealt out further by a hash;
+    repeated ids stay repeated. The first row of a shard has the distance of
+    its farthest row as its reach.
     """
     rows = usable(vectors, zeros=False)
-    shards = max(1, -(-rows.count() // shard_rows))
+    picks = sample(rows, SEEDS, F.xxhash64("vec_id"))
+    cells = {dim: values[: -(-count // shard_rows)] for dim, (count, _, values) in picks.items()}
+    centres = vectors.sparkSession.sparkContext.broadcast(cells)
+
+    def place(batches):
+        for block in batches:
+            cell = np.zeros(len(block), np.int32)
+            for dim, at in block.groupby("dim").indices.items():
+                if dim in centres.value:
+                    c = centres.value[dim]
+                    cell[at] = ((c**2).sum(axis=1) - 2 * matrix(block["v"].iloc[at]) @ c.T).argmin(axis=1)
+            yield block.assign(cell=cell)
 
     def tree(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("vec_id", kind="stable")
-        order, radius = arrange(matrix(group["v"]), np.random.default_rng(seed))
+        points = matrix(group["v"])
+        order, radius = arrange(points, np.random.default_rng(seed))
+        reach = np.full(len(order), np.nan)
+        reach[0] = distances(points[order[:1]], points).max()
         group = group.iloc[order]
-        return group.assign(place=np.arange(len(group), dtype=np.int32), radius=radius)[["dim", "shard", "place", "vec_id", "v", "radius"]]
+        group = group.assign(place=np.arange(len(group), dtype=np.int32), radius=radius, reach=reach)
+        return group[[x.split()[0] for x in INDEX.split(", ")]]
 
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).cast("int"))
+    placed = cut(rows.select("vec_id", "v", "dim").mapInPandas(place, "vec_id long, v array<double>, dim int, cell int"))
+    sizes = placed.groupBy("dim", "cell").agg(F.ceil(F.count("*") / shard_rows).alias("chunks"))
+    dealt = placed.join(sizes, ["dim", "cell"]).withColumn("shard", F.concat_ws(":", "cell", F.pmod(F.xxhash64("vec_id", "v"), "chunks")))
     return dealt.groupBy("dim", "shard").applyInPandas(lambda g: tree(g), INDEX)
 
 
 class Searcher:
     """Searches one tree for a block of queries at a time."""
 
-    def __init__(self, points: np.ndarray, ids: np.ndarray, radius: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int, factor: float):
-        self.points, self.ids, self.radius, self.queries, self.own, self.k, self.factor = points, ids, radius, queries, own, k, factor
+    def __init__(self, points: np.ndarray, ids: np.ndarray, radius: np.ndarray, queries: np.ndarray, own: np.ndarray, limit: np.ndarray, k: int, factor: float):
+        self.points, self.ids, self.radius, self.queries, self.own, self.limit, self.k, self.factor = points, ids, radius, queries, own, limit, k, factor
         self.near = np.full((len(queries), k), np.inf)
         self.rows = np.full((len(queries), k), -1, np.int64)
 
@@ -106,7 +128,7 @@ class Searcher:
         while stack:
             low, high, who, bound = stack.pop()
             # equal distances may still win by their id, so only larger ones are pruned
-            live = bound * self.factor <= self.near[who, -1]
+            live = bound * self.factor <= np.minimum(self.near[who, -1], self.limit[who])
             who = who[live]
             if not len(who):
                 continue
@@ -135,15 +157,33 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, factor: float = 1.
     meets rows of its own dimension alone, never rows of its own id, and all of
     them if they are fewer than k.
     """
-    asked, parts = blocks(usable(queries, zeros=False), query_rows)
-    spread, sent = in_blocks(index, asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), "dim", "part"), index.groupBy("dim", "shard").count(), parts)
+    asked = usable(queries, zeros=False).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), "dim")
+    seeds = index.sparkSession.sparkContext.broadcast(sample(index, SEEDS, F.xxhash64("vec_id")))
+
+    def bounds(batches):
+        for block in batches:
+            limit = np.full(len(block), np.inf)
+            for dim, at in block.groupby("dim").indices.items():
+                _, ids, points = seeds.value.get(dim, (0, np.zeros(0, np.int64), np.zeros((0, dim))))
+                if len(ids) >= k:
+                    d = distances(matrix(block["q"].iloc[at]), points)
+                    d[ids[None, :] == block["query_id"].to_numpy()[at][:, None]] = np.inf
+                    # a little above the distance itself, so that rounding cannot exclude its row
+                    limit[at] = np.partition(d, k - 1, axis=1)[:, k - 1] * (1 + 1e-9)
+            yield block.assign(limit=limit)
+
+    asked = cut(asked.mapInPandas(bounds, "query_id long, q array<double>, dim int, limit double"))
+    shards = index.where("place = 0").select("dim", "shard", F.col("v").alias("root"), "reach")
+    gap = F.sqrt(F.aggregate(F.zip_with("q", "root", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda n, x: n + x))
+    far = (gap * (1 - 1e-9) - F.col("reach")) * factor > F.col("limit")
+    spread, sent = routed(index.drop("reach"), asked, shards, F.isnan(gap) | ~far, query_rows)
 
     def run(tree: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         if tree.empty or block.empty:
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
         tree = tree.sort_values("place")
         ids, own = tree["vec_id"].to_numpy(), block["query_id"].to_numpy()
-        s = Searcher(matrix(tree["v"]), ids, tree["radius"].to_numpy(float), matrix(block["q"]), own, k, factor)
+        s = Searcher(matrix(tree["v"]), ids, tree["radius"].to_numpy(float), matrix(block["q"]), own, block["limit"].to_numpy(float), k, factor)
         s.search()
         who, column = np.nonzero(s.rows >= 0)
         return pd.DataFrame({"query_id": own[who], "vec_id": ids[s.rows[who, column]], "score": s.near[who, column]})
