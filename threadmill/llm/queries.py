@@ -24,7 +24,7 @@ URL_RULES = [
     urlgraph.Rule("example.net", "/de/8", "block"),
     urlgraph.Rule("org", "/es/", "block"),
 ]
-URL_SETTINGS = urlgraph.Settings(blocked_labels=("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm"))
+URL_SETTINGS = urlgraph.Settings()
 
 
 def tokenizer_path(name: str) -> str:

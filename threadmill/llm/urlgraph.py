@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
+#: Pages of a host that has more than one in so many are dealt to so many tasks.
+SPREAD = 64
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -27,11 +29,13 @@ class Rule:
 @dataclass
 class Settings:
     damping: float = 0.85
-    rounds: int = 10
+    #: Rounds end when all ranks of a kind together change by less, or at the most rounds.
+    tolerance: float = 1e-6
+    rounds: int = 100
     #: A host is blocked from this share of distrust in both scores on.
     threshold: float = 0.5
-    #: A host with one of these labels in its name is a blocked seed.
-    blocked_labels: tuple[str, ...] = ()
+    #: A host is a blocked seed if rules block this share of its pages.
+    blocked_share: float = 0.5
 
 
 def host_of(url: Column) -> Column:
@@ -69,7 +73,9 @@ def scores(seeds: DataFrame, edges: DataFrame, s: Settings) -> DataFrame:
     """trust and distrust of each host that either reaches; ``seeds`` has kind (trust or distrust) and host.
 
     A seed's share is one over the number of its kind. What a host without
-    links would pass on is lost, as in a walk that ends there.
+    links would pass on is lost, as in a walk that ends there. After the last
+    round no kind's ranks are off by more than tolerance * damping / (1 - damping)
+    in all, unless ``rounds`` ended them.
     """
     total = seeds.groupBy("kind").count()
     start = cut(seeds.join(F.broadcast(total), "kind").select("kind", "host", (1 / F.col("count")).alias("seed")))
@@ -78,16 +84,24 @@ def scores(seeds: DataFrame, edges: DataFrame, s: Settings) -> DataFrame:
     )
     degree = both.groupBy("kind", "src").agg(F.count("*").alias("degree"))
     steps = cut(both.join(degree, ["kind", "src"]).withColumnRenamed("kind", "of"))
-    ranks = start.select("kind", "host", ((1 - s.damping) * F.col("seed")).alias("rank"))
+    back = start.select("kind", "host", ((1 - s.damping) * F.col("seed")).alias("rank"))
+    ranks = back
     if not steps.isEmpty():
-        for k in range(s.rounds):
+        for k in range(1, s.rounds + 1):
             moved = ranks.join(steps, (F.col("kind") == F.col("of")) & (F.col("host") == F.col("src"))).select(
                 "kind", F.col("dst").alias("host"), (s.damping * F.col("rank") / F.col("degree")).alias("rank")
             )
-            back = start.select("kind", "host", ((1 - s.damping) * F.col("seed")).alias("rank"))
-            ranks = moved.union(back).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
-            if k % 3 == 2:
-                ranks = cut(ranks)
+            new = moved.union(back).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
+            if k % 3:
+                ranks = new
+                continue
+            new = cut(new)
+            # the change of the last round alone: ranks only grow, towards the limit
+            total = lambda r, name: r.groupBy("kind").agg(F.sum("rank").alias(name))
+            grown = total(new, "now").join(total(ranks, "before"), "kind").agg(F.max(F.col("now") - F.col("before"))).first()[0]
+            ranks = new
+            if grown is not None and grown < s.tolerance:
+                break
     of = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("rank")).otherwise(0.0)).alias(kind)
     return ranks.groupBy("host").agg(of("trust"), of("distrust"))
 
@@ -96,21 +110,29 @@ def judge(pages: DataFrame, rules: list[Rule], settings: Settings | None = None)
     """page_id, host, path, rule, verdict, trust and distrust: one row for each row of ``pages``.
 
     A url that is null or has no ``://`` has an empty host and path, fits no
-    rule and is allowed; so is a host that neither score reaches. Hosts with a
-    page that a rule allows are trusted seeds, unless they are blocked ones.
-    Null html has no links.
+    rule and is allowed; so is a host that neither score reaches. Hosts whose
+    pages rules block by ``blocked_share`` or more are blocked seeds; others
+    with a page that a rule allows are trusted ones. Null html has no links,
+    repeated page ids stay repeated, and further columns are left out.
     """
     s = settings or Settings()
     url = F.col("url").cast("string")
     named = with_rule(pages.select(F.col("page_id"), host_of(url).alias("host"), path_of(url).alias("path")), rules)
-    bad = F.arrays_overlap(F.split("host", r"\."), F.array(*map(F.lit, s.blocked_labels))) if s.blocked_labels else F.lit(False)
-    hosts = named.where("host <> ''").groupBy("host").agg(F.max(F.col("action") == "allow").alias("good")).withColumn("bad", bad)
-    kind = F.when(F.col("bad"), "distrust").when(F.col("good"), "trust")
-    seeds = hosts.select(kind.alias("kind"), "host").where("kind IS NOT NULL")
-    found = scores(cut(seeds), host_edges(pages.select(url.alias("url"), "html")), s)
+    of = lambda action: F.count_if(F.col("action") == action)
+    hosts = cut(named.groupBy("host").agg(F.count("*").alias("n"), of("block").alias("bad"), of("allow").alias("good")))
+    kind = F.when((F.col("bad") > 0) & (F.col("bad") >= s.blocked_share * F.col("n")), "distrust").when(F.col("good") > 0, "trust")
+    seeds = hosts.select(kind.alias("kind"), "host").where("host <> '' AND kind IS NOT NULL")
+    found = scores(seeds, host_edges(pages.select(url.alias("url"), "html")), s)
+    # hosts with more than one in SPREAD pages are fewer than SPREAD; their pages go to as many tasks
+    pages_all = hosts.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(hosts.where(F.col("n") * SPREAD > pages_all).select("host", F.lit(True).alias("hot")))
+    zero = F.lit(0).cast("long")
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("page_id", "path"), F.lit(SPREAD))).otherwise(zero)
+    salts = F.when(F.col("hot"), F.sequence(zero, zero + (SPREAD - 1))).otherwise(F.array(zero))
+    known = found.join(hot, "host", "left").select("host", "trust", "distrust", F.explode(salts).alias("salt"))
     blocked = F.coalesce(F.col("distrust") >= s.threshold * (F.col("trust") + F.col("distrust")), F.lit(False)) & (F.col("distrust") > 0)
     method = F.when(blocked, "block").otherwise("allow")
-    return named.join(found, "host", "left").select(
+    return named.join(hot, "host", "left").withColumn("salt", salt).join(known, ["host", "salt"], "left").select(
         "page_id",
         "host",
         "path",
@@ -122,7 +144,7 @@ def judge(pages: DataFrame, rules: list[Rule], settings: Settings | None = None)
 
 
 def oracle(rules: list[Rule], s: Settings) -> str:
-    """DuckDB SQL with the same rows, its rounds written out."""
+    """DuckDB SQL with the same rows; all ``rounds`` are walked, without a look at the change."""
     lower = f"translate(%s, '{UPPER}', '{LOWER}')"
     tail = "CASE WHEN contains({0}, '://') THEN substr({0}, instr({0}, '://') + 3) ELSE '' END"
     host = lambda x: lower % f"regexp_extract({tail.format(x)}, '^([^/?#]*)', 1)"
@@ -130,12 +152,12 @@ def oracle(rules: list[Rule], s: Settings) -> str:
     order = sorted(rules, key=lambda r: (len(r.host + r.path), r.action == "block", r.host + r.path), reverse=True)
     fits = lambda r: f"(host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}')"
     case = lambda value: "CASE " + " ".join(f"WHEN {fits(r)} THEN '{value(r)}'" for r in order) + " END"
-    labels = ", ".join(f"'{x}'" for x in s.blocked_labels)
     link = r"""(?i)\bhref\s*=\s*["'']?((?:[a-z][a-z0-9+.-]*:)?//[^"''\s>]+)"""
     parts = [
         f"u AS (SELECT page_id, coalesce(url, '') AS url, html FROM pages), h AS (SELECT page_id, {host('url')} AS host, {path} AS path FROM u)",
         f"n AS (SELECT *, {case(lambda r: r.host + r.path)} AS rule, {case(lambda r: r.action)} AS action FROM h)",
-        f"k AS (SELECT host, CASE WHEN list_has_any(string_split(host, '.'), [{labels}]::VARCHAR[]) THEN 'distrust' WHEN max((coalesce(action, '') = 'allow')::INT) = 1 THEN 'trust' END AS kind FROM n WHERE host <> '' GROUP BY host)",
+        "m AS (SELECT host, count(*) AS n, count(*) FILTER (action = 'block') AS bad, count(*) FILTER (action = 'allow') AS good FROM n WHERE host <> '' GROUP BY host)",
+        f"k AS (SELECT host, CASE WHEN bad > 0 AND bad >= {s.blocked_share} * n THEN 'distrust' WHEN good > 0 THEN 'trust' END AS kind FROM m)",
         "seed AS (SELECT kind, host, 1.0::DOUBLE / count(*) OVER (PARTITION BY kind) AS seed FROM k WHERE kind IS NOT NULL)",
         f"l AS (SELECT {host('url')} AS src, unnest(regexp_extract_all(html, '{link}', 1)) AS link FROM u)",
         f"e AS (SELECT DISTINCT src, {host('full_link')} AS dst FROM (SELECT src, CASE WHEN starts_with(link, '//') THEN 'http:' || link ELSE link END AS full_link FROM l))",
@@ -143,15 +165,11 @@ def oracle(rules: list[Rule], s: Settings) -> str:
         "b AS (SELECT 'trust' AS kind, src, dst FROM g UNION ALL SELECT 'distrust', dst, src FROM g)",
         "w AS (SELECT *, count(*) OVER (PARTITION BY kind, src) AS degree FROM b)",
         f"r0 AS (SELECT kind, host, {1 - s.damping} * seed AS rank FROM seed)",
+        # ranks are sums over walks: each round's mass moves on from the round before
+        f"x AS (SELECT 0 AS round, kind, host, rank FROM r0 UNION ALL SELECT x.round + 1, w.kind, w.dst, sum({s.damping} * x.rank / w.degree) FROM x JOIN w ON x.kind = w.kind AND x.host = w.src WHERE x.round < {s.rounds} GROUP BY ALL)",
     ]
-    for i in range(s.rounds):
-        parts.append(
-            f"r{i + 1} AS (SELECT kind, host, sum(rank) AS rank FROM (SELECT w.kind, w.dst AS host, {s.damping} * r.rank / w.degree AS rank FROM r{i} r JOIN w ON r.kind = w.kind AND r.host = w.src UNION ALL SELECT * FROM r0) GROUP BY kind, host)"
-        )
-    parts.append(
-        f"t AS (SELECT host, coalesce(sum(rank) FILTER (kind = 'trust'), 0) AS trust, coalesce(sum(rank) FILTER (kind = 'distrust'), 0) AS distrust FROM r{s.rounds} GROUP BY host)"
-    )
+    parts.append("t AS (SELECT host, coalesce(sum(rank) FILTER (kind = 'trust'), 0) AS trust, coalesce(sum(rank) FILTER (kind = 'distrust'), 0) AS distrust FROM x GROUP BY host)")
     return (
-        "WITH " + ",\n".join(parts) + "\nSELECT n.page_id, n.host, n.path, n.rule, coalesce(n.action, CASE WHEN t.distrust > 0 AND "
+        "WITH RECURSIVE " + ",\n".join(parts) + "\nSELECT n.page_id, n.host, n.path, n.rule, coalesce(n.action, CASE WHEN t.distrust > 0 AND "
         f"t.distrust >= {s.threshold} * (t.trust + t.distrust) THEN 'block' ELSE 'allow' END) AS verdict FROM n LEFT JOIN t ON n.host = t.host"
     )
