@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, linededup, packing, pieces, quality, simhash, topk, toxicity, urlgraph, vptree
+from . import chat, divergence, fim, linededup, packing, pieces, quality, sharding, simhash, topk, toxicity, urlgraph, vptree
 from .common import table
 
 
@@ -108,6 +108,27 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(spark, docs, model)
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.transform(table(spark, sf_dir, "documents"))
+    return made.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fim.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"), shards=24)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
@@ -120,6 +141,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_topk": op8_topk,
         "op9_urlgraph": op9_urlgraph,
         "op10_toxicity": op10_toxicity,
+        "op11_divergence": op11_divergence,
+        "op12_fim": op12_fim,
+        "op13_sharding": op13_sharding,
     }
 
 
@@ -135,4 +159,10 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_linededup": linededup.LINES_SQL, "op8_topk": TOPK_SQL, "op9_urlgraph": urlgraph.oracle(URL_RULES, URL_SETTINGS)}
+    return {
+        "op3_linededup": linededup.LINES_SQL,
+        "op8_topk": TOPK_SQL,
+        "op9_urlgraph": urlgraph.oracle(URL_RULES, URL_SETTINGS),
+        "op11_divergence": divergence.AUDIT_SQL,
+        "op12_fim": fim.FIM_SQL,
+    }
