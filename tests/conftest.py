@@ -18,6 +18,7 @@ def spark():
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.checkpoint.dir", tempfile.mkdtemp())
+        .config("spark.sql.warehouse.dir", tempfile.mkdtemp())
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")

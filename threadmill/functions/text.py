@@ -24,6 +24,15 @@ def prefix(text: Column, n: int) -> Column:
     return F.substring(text, 1, n)
 
 
+def prefix_units(text: Column, n: int) -> Column:
+    """The first n UTF-16 units; a character that the end would split is left out."""
+    units = F.encode(text, "UTF-16BE")
+    # a first half of a pair may not be the last unit
+    half = F.hex(F.substring(units, 2 * n - 1, 1)).between("D8", "DB")
+    cut = F.decode(F.substring(units, F.lit(1), F.when(half, 2 * n - 2).otherwise(2 * n)), "UTF-16BE")
+    return F.when(F.octet_length(units) <= 2 * n, text).otherwise(cut)
+
+
 def suffix(text: Column, n: int) -> Column:
     return F.right(text, F.lit(n))
 

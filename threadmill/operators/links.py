@@ -6,21 +6,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import TITLE, prefix, strip
+from ..functions.text import TITLE, prefix_units
+from . import html
 
 # What marks a project link and a chat link, and how many recent chats are looked at.
 PROJECT, PROJECT_PAGE, CHAT, RECENT = "/g/", "/project", "/c/", 10
-
-_NAV = r"(?s)<nav\b[^>]*>(.*?)</nav>"
-_LINK = r'(?s)<a\b[^>]*?href="([^"]*)"[^>]*>(.*?)</a>'
+TITLE_MARK = ("data-testid", "conversation-title")
 
 
 def nav_links(pages: DataFrame) -> DataFrame:
-    """page_id, ordinal from 0, href and title of every link in a page's first navigation block."""
-    nav = F.regexp_extract("html", _NAV, 1)
-    pairs = F.arrays_zip(F.regexp_extract_all(nav, F.lit(_LINK), 1).alias("href"), F.regexp_extract_all(nav, F.lit(_LINK), 2).alias("label"))
-    links = pages.select("page_id", F.posexplode(pairs).alias("ordinal", "link"))
-    return links.select("page_id", F.col("ordinal").cast("long").alias("ordinal"), "link.href", strip(F.col("link.label")).alias("title"))
+    """page_id, ordinal from 0, href and title of every link in a page's navigation blocks, in the order of the page."""
+    links = pages.select("page_id", F.posexplode(html.inner_links(F.col("html"), "nav")).alias("ordinal", "link"))
+    return links.select(
+        "page_id",
+        F.col("ordinal").cast("long").alias("ordinal"),
+        html.unescape(F.col("link.href"), inside_tag=True).alias("href"),
+        html.shown(F.col("link.label")).alias("title"),
+    )
 
 
 def _first(links: DataFrame) -> DataFrame:
@@ -29,7 +31,7 @@ def _first(links: DataFrame) -> DataFrame:
 
 
 def _titled(links: DataFrame) -> DataFrame:
-    return links.where(F.col("title") != "").withColumn("title", prefix(F.col("title"), TITLE))
+    return links.where(F.col("title") != "").withColumn("title", prefix_units(F.col("title"), TITLE))
 
 
 def projects(links: DataFrame, inside: str = PROJECT, outside: str = PROJECT_PAGE) -> DataFrame:
@@ -47,7 +49,7 @@ def recent(links: DataFrame, inside: str = CHAT, n: int = RECENT) -> DataFrame:
     first = _first(links.where(F.contains("href", F.lit(inside))))
     order = Window.partitionBy("page_id").orderBy("ordinal")
     kept = first.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= n).drop("__n")
-    return kept.withColumn("title", prefix(F.col("title"), TITLE))
+    return kept.withColumn("title", prefix_units(F.col("title"), TITLE))
 
 
 def find(links: DataFrame, name: str) -> DataFrame:
@@ -58,10 +60,10 @@ def find(links: DataFrame, name: str) -> DataFrame:
 
 
 def info(pages: DataFrame, chat: str = CHAT) -> DataFrame:
-    """page_id, url, title from the first heading, and whether the url is a chat's."""
+    """page_id, url, title from the first heading or element marked as one, and whether the url is a chat's."""
     return pages.select(
         "page_id",
         "url",
-        strip(F.regexp_extract("html", r"(?s)<h1\b[^>]*>(.*?)</h1>", 1)).alias("title"),
+        F.coalesce(html.shown(html.first_text(F.col("html"), "h1", TITLE_MARK)), F.lit("")).alias("title"),
         F.contains("url", F.lit(chat)).alias("is_chat"),
     )

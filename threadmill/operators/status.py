@@ -75,7 +75,12 @@ def full(states: DataFrame, events: DataFrame, keys: DataFrame, scans: DataFrame
         F.max(failed).alias("last_error_at"),
         F.max(F.when(F.col("error").isNull(), F.col("looked_at"))).alias("last_sync_at"),
     )
-    counts = monitor(states, events, keys, 0.0, now).select("tracked_chats", "pending_events", F.col("dedup_keys").alias("processed_dedup_keys"))
+    return with_sizes(looks, states, events, keys)
+
+
+def with_sizes(looks: DataFrame, states: DataFrame, events: DataFrame, keys: DataFrame) -> DataFrame:
+    """One row of what was looked at, with tracked_chats, pending_events and processed_dedup_keys."""
+    counts = monitor(states, events, keys, 0.0, 0.0).select("tracked_chats", "pending_events", F.col("dedup_keys").alias("processed_dedup_keys"))
     return looks.crossJoin(counts)  # single rows
 
 

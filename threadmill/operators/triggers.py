@@ -12,8 +12,9 @@ from ..functions.text import NOTICE_PREVIEW, PREVIEW, UNTITLED, form_encode, is_
 CALL, REPLY = "architect_call", "architect_reply"
 
 
-# The trigger's stem, the form of a reply, and the text of a notice.
+# The trigger's stem, the form of a reply, how many keys are remembered, and the text of a notice.
 STEM, REPLY_FORM = "архитектор", r"^\s*\[?\s*[Яя]\s+[Аа]рхитектор\s*\]?"
+CAP = 5000
 NOTICE = "🔔 GPT → Архитектор\n[%s] в чате «%s»\nmsg#%s: %s"
 
 
@@ -73,7 +74,7 @@ def remember(processed: DataFrame, found: DataFrame) -> DataFrame:
     return processed.select("key").union(found.select(event_key().alias("key"))).distinct()
 
 
-def cap(keys: DataFrame, n: int = 5000) -> DataFrame:
+def cap(keys: DataFrame, n: int = CAP) -> DataFrame:
     """The n keys seen last, of (key, first_seen); ties go to the smaller key."""
     return keys.orderBy(F.col("first_seen").desc(), "key").limit(n)
 

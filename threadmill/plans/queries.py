@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.text import full_hash, one_line, prefix, short_hash, suffix, truthy
-from ..operators import external, images, incremental, links, stability, status, throttle, triggers
+from ..operators import external, html, images, incremental, links, stability, status, throttle, triggers
 from ..sources import documents, messages
 from . import fixtures
 from .fixtures import rows
@@ -278,11 +279,42 @@ def link_counts(spark, sf_dir):
     return _links(spark, sf_dir).groupBy("page_id").agg(F.count("*").alias("count"))
 
 
-@query("SELECT page_id, url, trim(regexp_extract(html, '(?s)<h1\\b[^>]*>(.*?)</h1>', 1)) AS title, contains(url, '/en/') AS is_chat FROM pages")
+def _plain(text: str) -> str:
+    """SQL for a text with the character references that the pages hold."""
+    for name, sign in (("quot;", '"'), ("copy;", "©"), ("middot;", "·")):
+        text = f"replace({text}, '&{name}', '{sign}')"
+    return f"regexp_replace({text}, '&amp;?', '&', 'g')"
+
+
+_H1 = "regexp_extract(html, '(?s)<h1\\b[^>]*>(.*?)</h1>', 1)"
+
+
+@query(f"SELECT page_id, url, trim(regexp_replace({_plain(_H1)}, '[ \\t\\n\\f\\r]+', ' ', 'g')) AS title, contains(url, '/en/') AS is_chat FROM pages")
 def page_title(spark, sf_dir):
     return links.info(messages.table(spark, sf_dir, "pages"), chat="/en/")
 
 
+_TAG = "</?[a-z][^>]*"
+_RAW = "|".join(f"<{n}\\b[^>]*>.*?(?:</{n}[^>]*>|\\z)" for n in ("script", "style", "title"))
+
+
+@query(
+    f"""WITH x AS (SELECT page_id, regexp_extract_all(html, '(?is)<!--.*?(?:-->|\\z)|{_RAW}|{_TAG}>|{_TAG}\\z|<[!?/][^>]*>|[^<]+|<') AS ts FROM pages),
+y AS (SELECT page_id, unnest(ts) AS t, generate_subscripts(ts, 1) - 1 AS place FROM x),
+k AS (SELECT *, CASE WHEN NOT starts_with(t, '<') OR t = '<' THEN 'text' WHEN starts_with(t, '<!') OR NOT ends_with(t, '>') THEN 'comment'
+ WHEN regexp_matches(t, '^<(script|style|title)[ >]') THEN 'raw' WHEN starts_with(t, '</') THEN 'end' ELSE 'start' END AS kind FROM y),
+n AS (SELECT *, CASE WHEN kind IN ('start', 'end', 'raw') THEN regexp_extract(t, '^</?([a-z0-9]+)', 1) END AS name FROM k),
+c AS (SELECT *, CASE WHEN kind = 'start' AND name NOT IN ('br', 'meta', 'img', 'link', 'hr', 'input') THEN 1 WHEN kind = 'end' THEN -1 ELSE 0 END AS change FROM n)
+SELECT page_id, CAST(place AS BIGINT) AS place, kind, name, CASE kind WHEN 'text' THEN {_plain("t")} WHEN 'comment' THEN t
+ WHEN 'raw' THEN CASE name WHEN 'title' THEN {_plain("regexp_extract(t, '(?s)^<title>(.*)</title>$', 1)")} ELSE regexp_extract(t, '(?s)^<[^>]*>(.*)</[a-z]+>$', 1) END END AS text,
+ nullif(regexp_extract(t, 'href="([^"]*)"', 1), '') AS href, CASE WHEN kind IN ('start', 'raw') THEN len(regexp_extract_all(regexp_extract(t, '^<[^>]*>'), '="'))::INTEGER END AS n_attributes,
+ CAST(greatest(0, coalesce(sum(change) OVER (PARTITION BY page_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS BIGINT) AS depth FROM c"""
+)
+def html_tokens(spark, sf_dir):
+    found = html.tokens(messages.table(spark, sf_dir, "pages"))
+    return found.withColumn("href", F.col("attributes")["href"]).withColumn("n_attributes", F.when(F.col("attributes").isNotNull(), F.size("attributes"))).drop("attributes")
+
+
 # Images, from inline rows
 
 _STYLE = "regexp_replace(split_part(split_part(style, 'url(', 2), ')', 1), '^[''\"]+|[''\"]+$', '', 'g')"
@@ -353,14 +385,16 @@ def load_dedup(spark, sf_dir):
     return documents.dedup_keys(rows(spark, fixtures.DEDUP_JSON))
 
 
-@query(
-    f"""WITH q AS (SELECT *, lag(text) OVER (PARTITION BY key ORDER BY poll_no) AS was FROM {fixtures.POLLS} WHERE NOT generating AND assistant_count > pre_count),
+def _sql_outcomes(polls: str, source: str) -> str:
+    return f"""WITH {polls}q AS (SELECT *, lag(text) OVER (PARTITION BY key ORDER BY poll_no) AS was FROM {source} WHERE NOT generating AND assistant_count > pre_count),
 r AS (SELECT *, sum(CASE WHEN was IS NULL OR was <> text THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY poll_no) AS run FROM q),
 d AS (SELECT key, min(poll_no) AS poll_no, min_by(text, poll_no) AS text FROM (SELECT *, row_number() OVER (PARTITION BY key, run ORDER BY poll_no) AS k FROM r) WHERE k >= 3 AND text <> '' GROUP BY key),
-e AS (SELECT key, poll_no, CASE WHEN assistant_count > pre_count THEN text END AS text FROM {fixtures.POLLS} WHERE elapsed_ms > 300000 QUALIFY row_number() OVER (PARTITION BY key ORDER BY poll_no) = 1),
+e AS (SELECT key, poll_no, CASE WHEN assistant_count > pre_count THEN text END AS text FROM {source} WHERE elapsed_ms > 300000 QUALIFY row_number() OVER (PARTITION BY key ORDER BY poll_no) = 1),
 j AS (SELECT coalesce(d.key, e.key) AS key, d.poll_no AS dp, d.text AS dt, e.poll_no AS ep, e.text AS et, d.poll_no IS NOT NULL AND (e.poll_no IS NULL OR d.poll_no <= e.poll_no) AS ok FROM d FULL JOIN e ON d.key = e.key)
 SELECT key, CASE WHEN ok THEN 'complete' WHEN et IS NOT NULL THEN 'timeout_partial' ELSE 'timeout_empty' END AS status, CASE WHEN ok THEN dt ELSE coalesce(et, '') END AS response, CASE WHEN ok THEN dp ELSE ep END AS poll_no FROM j"""
-)
+
+
+@query(_sql_outcomes("", fixtures.POLLS))
 def response_stability(spark, sf_dir):
     return stability.outcomes(rows(spark, fixtures.POLLS))
 
@@ -436,6 +470,82 @@ def text_functions(spark, sf_dir):
     )
 
 
+# The same operators over tables
+
+_GAP = 12 * 3600
+
+
+def _event_micros() -> Column:
+    """Microseconds since 1970 of an event's local time, whatever the session's time zone."""
+    return F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))")
+
+
+@query(
+    f"""WITH RECURSIVE k AS (SELECT CAST(user_id AS VARCHAR) AS chat_url, epoch_us(ts) / 1000000::DOUBLE AS ts FROM events),
+a AS (SELECT chat_url, min(ts) AS ts FROM k GROUP BY chat_url UNION ALL SELECT a.chat_url, min(k.ts) FROM a JOIN k ON k.chat_url = a.chat_url AND k.ts - a.ts >= {_GAP} GROUP BY a.chat_url)
+SELECT chat_url, ts FROM a"""
+)
+def throttle_events(spark, sf_dir):
+    """Events of a user as checks of a chat: the first, then each at least half a day after the last one taken."""
+    seen = messages.table(spark, sf_dir, "events")
+    checks = seen.select(F.col("user_id").cast("string").alias("chat_url"), (_event_micros() / F.lit(1000000.0)).alias("ts"))
+    # of several events of one moment one is taken
+    return throttle.accepted(checks, float(_GAP))
+
+
+_EVENT_POLLS = """p AS (SELECT CAST(user_id AS VARCHAR) AS key, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS poll_no,
+ (epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY user_id)) // 4320000 AS elapsed_ms, event_type = 'error' AS generating,
+ CASE WHEN event_type = 'signup' THEN 1 ELSE 2 END AS assistant_count, 1 AS pre_count, CASE WHEN event_type = 'purchase' THEN '' ELSE event_type END AS text FROM events)"""
+
+
+@query(_sql_outcomes(_EVENT_POLLS + ", ", "p"))
+def stability_events(spark, sf_dir):
+    """Events of a user as polls of a text, the kind of event being the text."""
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    micros, kind = _event_micros(), F.col("event_type")
+    polls = messages.table(spark, sf_dir, "events").select(
+        F.col("user_id").cast("string").alias("key"),
+        F.row_number().over(order).cast("long").alias("poll_no"),
+        F.floor((micros - F.min(micros).over(Window.partitionBy("user_id"))) / 4320000).alias("elapsed_ms"),
+        (kind == "error").alias("generating"),
+        F.when(kind == "signup", 1).otherwise(2).alias("assistant_count"),
+        F.lit(1).alias("pre_count"),
+        F.when(kind == "purchase", "").otherwise(kind).alias("text"),
+    )
+    return stability.outcomes(polls)
+
+
+@query(f"WITH {_MSG}, {_FIND} SELECT {_KEY} AS key, CAST(message_index AS DOUBLE) AS first_seen FROM f ORDER BY first_seen DESC, key LIMIT 12")
+def found_keys_cap(spark, sf_dir):
+    keys = found_events(spark, sf_dir).select(triggers.event_key().alias("key"), F.col("message_index").cast("double").alias("first_seen"))
+    return triggers.cap(keys, 12)
+
+
+@query(f"WITH {_MSG} SELECT left(sha1(text), 2) AS hash FROM m WHERE role = 'user' EXCEPT ALL SELECT left(sha1(text), 2) FROM m WHERE role = 'user' AND index % 4 = 0")
+def hash_bag_difference(spark, sf_dir):
+    """A short part of the hashes, so that many are equal."""
+    said = messages.load(spark, sf_dir).where("role = 'user'")
+    hashes = lambda rows: rows.select(F.substring(full_hash(F.col("text")), 1, 2).alias("hash"))
+    return external.bag_difference(hashes(said), hashes(said.where("index % 4 = 0")))
+
+
+@query("SELECT CAST(conv_id AS VARCHAR) AS url, '' AS title, CASE WHEN conv_id % 3 = 0 THEN 'p' ELSE '' END AS project, CASE WHEN conv_id % 5 = 0 THEN 0 ELSE count(*) END AS last_seen_count, 0.0::DOUBLE AS last_checked_at FROM conversations GROUP BY conv_id")
+def load_chat_states(spark, sf_dir):
+    """A state document a chat, with fields left out, read back as rows."""
+    talks = messages.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"))
+    fields = F.struct(F.when(F.col("conv_id") % 3 == 0, "p").alias("project"), F.when(F.col("conv_id") % 5 != 0, F.col("n")).alias("last_seen_count"))
+    states = F.struct(F.create_map(F.col("conv_id").cast("string"), fields).alias("states"))
+    return documents.chat_states(talks.select(F.to_json(states).alias("document")))
+
+
+@query(f"WITH {_MSG}, {_FIND} SELECT DISTINCT {_KEY} AS key FROM f")
+def load_found_keys(spark, sf_dir):
+    """A document of the keys of each message with a trigger, twice over, read back as distinct keys."""
+    key = triggers.event_key()
+    written = found_events(spark, sf_dir).select(F.to_json(F.struct(F.array(key, key).alias("keys"))).alias("document"))
+    return documents.dedup_keys(written)
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -11,15 +11,17 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.text import UNKNOWN_ROLE, or_default
-from ..operators import external, triggers
+from ..operators import triggers
 from ..operators.stability import MAX_WAIT_MS, STABLE_POLLS
 from ..sources import messages
+from . import state
 
 # Seconds between looks at the active chat, and at the others as asked for; messages read of a chat at first sight.
 ACTIVE_SECONDS, OTHER_SECONDS, FIRST_SIGHT = 3, 8, 5
@@ -33,13 +35,22 @@ def landed(spark: SparkSession, folder: str, files_per_trigger: int | None = Non
     return reader.json(folder).withColumn("role", or_default(F.col("role"), UNKNOWN_ROLE))
 
 
-def trigger_stream(stream: DataFrame, patterns: triggers.Patterns, project: str = "") -> DataFrame:
-    """Events of triggered messages, each key once, whatever is delivered again.
+def trigger_stream(
+    stream: DataFrame,
+    patterns: triggers.Patterns,
+    project: str = "",
+    cap: int = triggers.CAP,
+    buckets: int = 1,
+    ttl_seconds: int | None = None,
+    known: DataFrame | None = None,
+) -> DataFrame:
+    """Events of triggered messages, each key once among the ``cap`` seen last, whatever is delivered again.
 
-    Only triggers are remembered. Without event time their keys stay in the
-    state store; batch jobs cap them with ``triggers.cap``.
+    Only triggers are remembered; ``state.recent_once`` says how, and what
+    ``buckets``, ``ttl_seconds`` and ``known`` do.
     """
-    return triggers.events(stream, patterns, project).withColumn("key", triggers.event_key()).dropDuplicates(["key"])
+    found = triggers.events(stream, patterns, project).withColumn("key", triggers.event_key())
+    return state.recent_once(found, cap, buckets, ttl_seconds, known)
 
 
 def append_json(stream: DataFrame, folder: str, checkpoint: str) -> DataStreamWriter:
@@ -90,30 +101,22 @@ def new_messages(stream: DataFrame, tail: int | None = None, first: int | None =
     return stream.groupBy("chat_url").applyInPandasWithState(step, messages.SCHEMA, "seen long", "append", GroupStateTimeout.NoTimeout)
 
 
-USED = "chat_url string, hash string, n long"
+def watch(stream: DataFrame, sent: DataFrame, folder: str, checkpoint: str, compat: bool = False) -> DataStreamWriter:
+    """One event a chat and batch, told apart by the texts in ``sent``, which may arrive while the query runs.
 
+    ``state.watched`` says how. Events are written under the number of their
+    batch, so a batch that is run again overwrites its own.
+    """
+    return logged(state.watched(stream, sent, compat=compat), folder, checkpoint)
 
-def watch(stream: DataFrame, sent: DataFrame, folder: str, checkpoint: str) -> DataStreamWriter:
-    """One event a chat and batch, told apart by the texts in ``sent``.
 
-    Each sent text accounts for one message over all batches: what has been
-    used up by a batch is written beside the checkpoint under its number. A
-    batch that is run again reads what the one before it left and overwrites its
-    own folders, so no event is logged and no text used twice. Of several rows
-    of one place the least role and text is taken.
-    """
-    used_in = f"{checkpoint}-used"
+def logged(events: DataFrame, folder: str, checkpoint: str) -> DataStreamWriter:
+    """Rows as JSON lines in a folder for each batch; a batch that is run again overwrites its own."""
 
     def log(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        fresh = batch.groupBy("chat_url", "index").agg(F.min(F.struct("role", "text")).alias("m")).select("chat_url", "index", "m.role", "m.text")
-        used = spark.read.schema(USED).json(f"{used_in}/batch={number - 1}") if number else spark.createDataFrame([], USED)
-        marked = external.mark_external(fresh, sent, used=used)
-        totals = fresh.groupBy("chat_url").agg((F.max("index") + 1).alias("message_count"))
-        external.watch_events(marked, totals).write.mode("overwrite").json(f"{folder}/batch={number}")
-        external.spend(marked, used).write.mode("overwrite").json(f"{used_in}/batch={number}")
+        batch.write.mode("overwrite").json(f"{folder}/batch={number}")
 
-    return stream.writeStream.foreachBatch(log).option("checkpointLocation", checkpoint)
+    return events.writeStream.foreachBatch(log).option("checkpointLocation", checkpoint)
 
 
 def snapshot(marks: DataFrame, folder: str, number: int) -> str:
@@ -129,13 +132,68 @@ def latest(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     return found.where(F.col("snapshot") == (found.agg(F.max("snapshot")).first()[0])).drop("snapshot")
 
 
-def drain(spark: SparkSession, folder: str, after: int = -1) -> tuple[DataFrame, int]:
+def read_json(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """JSON lines of a known schema, partition columns among it; a folder that is empty or not there has no rows."""
+    try:
+        return spark.read.schema(schema).json(folder)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def drain(spark: SparkSession, folder: str, after: int = -1, schema: str = state.EVENT) -> tuple[DataFrame, int]:
     """Events of batches beyond ``after``, and the last batch read: reading takes nothing away."""
-    events = spark.read.json(folder).where(F.col("batch") > after)
+    events = read_json(spark, folder, f"{schema}, batch long").where(F.col("batch") > after)
     last = events.agg(F.max("batch")).first()[0]
     return events, after if last is None else int(last)
 
 
+CURSOR = "upto long"
+
+
+class Consumer:
+    """Takes each event of a folder once, whatever other consumers take.
+
+    What is taken is written to ``out`` first, under the last batch it holds, and
+    then the cursor moves. A crash between the two leaves rows that no cursor
+    names: they are read again and written anew, and ``taken`` never shows them.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, out: str, schema: str = state.EVENT):
+        self.spark, self.folder, self.out, self.schema = spark, folder, out, schema
+
+    def cursors(self) -> DataFrame:
+        return read_json(self.spark, f"{self.out}/cursors", CURSOR)
+
+    def cursor(self) -> int:
+        last = self.cursors().agg(F.max("upto")).first()[0]
+        return -1 if last is None else int(last)
+
+    def write(self) -> int | None:
+        """Write what is new and return the batch it goes up to, null if nothing is."""
+        before = self.cursor()
+        events, last = drain(self.spark, self.folder, before, self.schema)
+        if last == before:
+            return None
+        # a batch that lands meanwhile waits for the next time
+        events.where(F.col("batch") <= last).write.mode("overwrite").json(f"{self.out}/events/upto={last}")
+        return last
+
+    def commit(self, last: int) -> None:
+        self.spark.createDataFrame([(last,)], CURSOR).coalesce(1).write.mode("append").json(f"{self.out}/cursors")
+
+    def take(self) -> int | None:
+        last = self.write()
+        if last is not None:
+            self.commit(last)
+        return last
+
+    def taken(self) -> DataFrame:
+        events = read_json(self.spark, f"{self.out}/events", f"{self.schema}, batch long, upto long")
+        return events.join(self.cursors().distinct(), "upto", "left_semi")
+
+
 OUT = ["key", "status", "response", "poll_no"]
 STABLE = "key string, status string, response string, poll_no long"
 
