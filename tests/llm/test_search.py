@@ -2,6 +2,7 @@
 
 import os
 import random
+import re
 from collections import defaultdict
 
 import numpy as np
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from threadmill.llm import chat, topk, urlgraph, vptree
+from threadmill.llm import chat, topk, urlgraph, vectors, vptree
 from threadmill.llm import queries as llm_queries
 
 VECTORS = "vec_id long, embedding array<float>, dim int"
@@ -97,6 +98,56 @@ def test_clustered_vectors_go_to_few_shards(spark, monkeypatch):
     assert [g[:3] for g in got] == [w[:3] for w in want] and shares[0] < 0.5
 
 
+def test_many_shards_meet_queries_in_blocks(spark, monkeypatch):
+    """Beyond the size that is sent no join goes by the dimension alone, and results stay exact."""
+    rng = np.random.default_rng(12)
+    points = np.round(rng.normal(size=(600, 5)), 2)
+    rows = [(i, [float(x) for x in p], 0) for i, p in enumerate(points)]
+    frame = spark.createDataFrame(rows, VECTORS)
+    for name, value in (("SENT_BYTES", 0), ("GRID_QUERIES", 7), ("GRID_SHARDS", 3)):
+        monkeypatch.setattr(vectors, name, value)
+    keys = []
+
+    def beside(*args, real=vectors._beside):
+        found = real(*args)
+        keys.append(found._jdf.queryExecution().executedPlan().toString())
+        return found
+
+    monkeypatch.setattr(vectors, "_beside", beside)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        got = listed(vptree.search(vptree.build(frame, shard_rows=50), frame.where("vec_id % 20 = 0"), 10))
+        assert listed(topk.search(frame, frame.where("vec_id % 20 = 0"), 5))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    plain = usable(rows, False)
+    want = first(plain, [r for r in plain if r[0] % 20 == 0], 10, lambda a, b: float(np.sqrt(((a - b) ** 2).sum())), False)
+    assert [g[:3] for g in got] == [w[:3] for w in want]
+    for plan in keys:
+        joins = [line for line in plan.splitlines() if "SortMergeJoin" in line or "ShuffledHashJoin" in line]
+        assert len(keys) == 2 and any("row#" in line and "column#" in line for line in joins)
+        assert not any(re.search(r"Join \[[^,\]]*\],", line) for line in joins)
+
+
+def test_cells_are_parted_again(spark, monkeypatch):
+    """More rows than the first cells hold: still near one another, so few shards are searched; equal rows stay together."""
+    monkeypatch.setattr(vptree, "CENTRES", 3)
+    monkeypatch.setattr(vptree, "PART_ROWS", 100)
+    rng = np.random.default_rng(13)
+    points = np.round(rng.normal(size=(40, 6))[rng.integers(0, 40, 2000)] * 20 + rng.normal(size=(2000, 6)), 2)
+    points[1700:] = points[1700]
+    rows = [(i, [float(x) for x in p], 0) for i, p in enumerate(points)]
+    frame, shares = spark.createDataFrame(rows, VECTORS), counted(monkeypatch, vptree)
+    index = vptree.build(frame, shard_rows=60).cache()
+    assert index.count() == 2000 and index.groupBy("dim", "shard").count().agg({"count": "max"}).first()[0] <= 180
+    asked = frame.where("vec_id % 100 = 0 AND vec_id < 1700")
+    got = listed(vptree.search(index, asked, 10, 1.0, query_rows=3))
+    plain = usable(rows, False)
+    want = first(plain, [r for r in plain if r[0] % 100 == 0 and r[0] < 1700], 10, lambda a, b: float(np.sqrt(((a - b) ** 2).sum())), False)
+    assert [g[:3] for g in got] == [w[:3] for w in want] and shares[0] < 0.4
+
+
 def test_short_vectors_are_not_sent(spark, monkeypatch):
     rng = np.random.default_rng(10)
     points = np.round(rng.normal(size=(1500, 4)) * rng.lognormal(0, 1.5, size=(1500, 1)), 2)

@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Shards of at most so many bytes are sent to every task; of more, blocks of so many queries and shards meet.
+SENT_BYTES = 32 << 20
+GRID_QUERIES, GRID_SHARDS = 4096, 1024
+
 
 def usable(vectors: DataFrame, zeros: bool) -> DataFrame:
     """vec_id, v (array of doubles) and dim, without null vectors or ids, empty ones, and null or non-finite components.
@@ -43,6 +47,25 @@ def sample(vectors: DataFrame, n: int, *order: Column) -> dict[int, tuple[int, n
     return out
 
 
+def _beside(asked: DataFrame, shards: DataFrame) -> DataFrame:
+    """Each query beside each shard of its dimension, the shards' dim and shard as d and s, so that no task gets all of either.
+
+    Shards of a checked size are sent to the queries where those lie. Of more,
+    blocks of queries meet blocks of shards, each pair of blocks in a task.
+    """
+    # new names, since both tables come from the same rows
+    named = shards.withColumnsRenamed({"dim": "d", "shard": "s"})
+    count, widest = shards.agg(F.count("*"), F.max("dim")).first()
+    if count * (8 * (widest or 0) + 64) <= SENT_BYTES:
+        return asked.join(F.broadcast(named), F.col("dim") == F.col("d"))
+    rows, columns = max(1, -(-asked.count() // GRID_QUERIES)), max(1, -(-count // GRID_SHARDS))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    ours = asked.withColumn("row", F.pmod(F.xxhash64("query_id", F.lit(5)), F.lit(rows)).cast("int")).withColumn("column", every(columns))
+    theirs = named.withColumn("of_column", F.pmod(F.xxhash64("s", F.lit(5)), F.lit(columns)).cast("int")).withColumn("of_row", every(rows))
+    meet = (F.col("dim") == F.col("d")) & (F.col("row") == F.col("of_row")) & (F.col("column") == F.col("of_column"))
+    return ours.join(theirs, meet).drop("row", "column", "of_row", "of_column")
+
+
 def routed(rows: DataFrame, asked: DataFrame, shards: DataFrame, able: Column, block: int) -> tuple[DataFrame, DataFrame]:
     """Shards beside the queries that may find something there, as two tables with keys dim, shard and part.
 
@@ -51,9 +74,7 @@ def routed(rows: DataFrame, asked: DataFrame, shards: DataFrame, able: Column, b
     are dealt into blocks of about ``block``; its rows go once to each block,
     and a shard that no query needs goes nowhere.
     """
-    # new names, since both tables come from the same rows
-    named = shards.withColumnsRenamed({"dim": "d", "shard": "s"})
-    pairs = asked.join(named, F.col("dim") == F.col("d")).where(able)
+    pairs = _beside(asked, shards).where(able)
     parts = pairs.groupBy("d", "s").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
     spread = rows.join(parts, (F.col("dim") == F.col("d")) & (F.col("shard") == F.col("s")))
     spread = spread.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(*rows.columns, "part")

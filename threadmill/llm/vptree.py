@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import cut
 from .vectors import best, matrix, routed, sample, usable
@@ -20,9 +21,13 @@ from .vectors import best, matrix, routed, sample, usable
 #: Rows of a shard and queries of a block, about.
 SHARD_ROWS, QUERY_ROWS = 8192, 4096
 LEAF = 64
-#: Rows of a dimension that serve as centres of cells and seed a query's bound, at most.
-SEEDS = 512
+#: Rows of a dimension that seed a query's bound, and rows that part a dimension or a cell, at most.
+SEEDS, CENTRES = 512, 512
 
+#: Rows of a cell that meet its centres at once, and levels of cells at most: each parts a cell into up to ``CENTRES``.
+PART_ROWS, LEVELS = 65_536, 4
+
+CELLS = "dim int, cell string, vec_id long, v array<double>"
 INDEX = "dim int, shard string, place int, vec_id long, v array<double>, radius double, reach double"
 
 
@@ -60,28 +65,64 @@ def arrange(points: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, n
     return order, radius
 
 
+def _finer(placed: DataFrame, shard_rows: int, level: int) -> tuple[DataFrame, bool]:
+    """``placed`` (dim, cell, vec_id, v) with cells of many rows parted by centres of their own, and whether any was.
+
+    A cell's centres are about as many of its rows as it needs shards, ``CENTRES``
+    at most; they are picked by a hash, and its rows meet them in blocks.
+    """
+    sizes = placed.groupBy("dim", "cell").agg(F.count("*").alias("rows"))
+    large = cut(sizes.where(F.col("rows") > 2 * shard_rows))
+    if large.isEmpty():
+        return placed, False
+    found = placed.join(large, ["dim", "cell"])
+    wanted = F.least(F.lit(CENTRES), F.ceil(F.col("rows") / shard_rows))
+    hashed = F.pmod(F.xxhash64("vec_id", F.lit(level)), F.lit(1 << 30))
+    # a few times as many as are wanted come to the window that picks them
+    likely = found.withColumn("h", hashed).where(F.col("h") <= 4 * wanted / F.col("rows") * (1 << 30))
+    order = Window.partitionBy("dim", "cell").orderBy("h", "vec_id")
+    parts = F.ceil(F.col("rows") / PART_ROWS).cast("int")
+    picked = likely.withColumn("n", F.row_number().over(order)).where(F.col("n") <= wanted)
+    # new names, since both tables come from the same rows
+    picked = picked.select(F.col("dim").alias("d"), F.col("cell").alias("c"), F.col("v").alias("centre"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("p"))
+    dealt = found.select("dim", "cell", "vec_id", "v", F.pmod(F.xxhash64("vec_id", "v"), parts).cast("int").alias("part"))
+
+    def part(rows: pd.DataFrame, centres: pd.DataFrame) -> pd.DataFrame:
+        if rows.empty or centres.empty:
+            return rows[["dim", "cell", "vec_id", "v"]]
+        c = matrix(centres["centre"].sort_values(key=lambda v: v.map(tuple)))
+        nearest = ((c**2).sum(axis=1) - 2 * matrix(rows["v"]) @ c.T).argmin(axis=1)
+        cell = rows["cell"] + "." + nearest.astype(str)
+        return rows.assign(cell=cell)[["dim", "cell", "vec_id", "v"]]
+
+    parted = dealt.groupBy("dim", "cell", "part").cogroup(picked.groupBy("d", "c", "p")).applyInPandas(lambda a, b: part(a, b), CELLS)
+    rest = placed.join(large.select("dim", "cell"), ["dim", "cell"], "left_anti")
+    return rest.select("dim", "cell", "vec_id", "v").unionByName(parted), True
+
+
 def build(vectors: DataFrame, shard_rows: int = SHARD_ROWS, seed: int = 7) -> DataFrame:
     """Index of all usable rows: dim, shard, place, vec_id, v, radius (null in leaves) and reach.
 
     Vectors that are null, zero, or hold null or non-finite components take no
-    part. Each row goes to the cell of the nearest of a few sampled rows, and a
-    cell of many rows, such as equal ones, is dealt out further by a hash;
-    repeated ids stay repeated. The first row of a shard has the distance of
+    part. Each row goes to the cell of the nearest of a few sampled rows; where
+    the first cells are too few for all rows, they are parted again in the same
+    way, level by level. Cells that cannot be parted, such as of equal rows, are
+    dealt out by a hash; repeated ids stay repeated. The first row of a shard has the distance of
     its farthest row as its reach.
     """
     rows = usable(vectors, zeros=False)
-    picks = sample(rows, SEEDS, F.xxhash64("vec_id"))
+    picks = sample(rows, CENTRES, F.xxhash64("vec_id"))
     cells = {dim: values[: -(-count // shard_rows)] for dim, (count, _, values) in picks.items()}
     centres = vectors.sparkSession.sparkContext.broadcast(cells)
 
     def place(batches):
         for block in batches:
-            cell = np.zeros(len(block), np.int32)
+            cell = np.zeros(len(block), np.int64)
             for dim, at in block.groupby("dim").indices.items():
                 if dim in centres.value:
                     c = centres.value[dim]
                     cell[at] = ((c**2).sum(axis=1) - 2 * matrix(block["v"].iloc[at]) @ c.T).argmin(axis=1)
-            yield block.assign(cell=cell)
+            yield block.assign(cell=cell.astype(str))[["dim", "cell", "vec_id", "v"]]
 
     def tree(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("vec_id", kind="stable")
@@ -93,7 +134,13 @@ def build(vectors: DataFrame, shard_rows: int = SHARD_ROWS, seed: int = 7) -> Da
         group = group.assign(place=np.arange(len(group), dtype=np.int32), radius=radius, reach=reach)
         return group[[x.split()[0] for x in INDEX.split(", ")]]
 
-    placed = cut(rows.select("vec_id", "v", "dim").mapInPandas(place, "vec_id long, v array<double>, dim int, cell int"))
+    placed = cut(rows.select("vec_id", "v", "dim").mapInPandas(place, CELLS))
+    # the first cells do where each needs few shards
+    more, level = any(count > CENTRES * shard_rows for count, *_ in picks.values()), 0
+    while more and level < LEVELS:
+        level += 1
+        finer, more = _finer(placed, shard_rows, level)
+        placed = cut(finer) if more else placed
     sizes = placed.groupBy("dim", "cell").agg(F.ceil(F.count("*") / shard_rows).alias("chunks"))
     dealt = placed.join(sizes, ["dim", "cell"]).withColumn("shard", F.concat_ws(":", "cell", F.pmod(F.xxhash64("vec_id", "v"), "chunks")))
     return dealt.groupBy("dim", "shard").applyInPandas(lambda g: tree(g), INDEX)
