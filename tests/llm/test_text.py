@@ -115,9 +115,32 @@ def test_texts_of_one_id_are_no_copies(spark):
         assert sorted(r["text"] for r in kept.collect()) == want
 
 
+def test_columns_of_any_name_stay(spark):
+    """Helper columns make way for a caller's own."""
+    from pyspark.sql import functions as F
+
+    import threadmill.llm.neardup as near
+
+    mine = {c: F.lit("MINE") for c in ("__text", "__TEXT_", "__node", "__Node_", "root", "node", "fp")}
+    frame = docs(spark, [(1, "a b c d e f"), (2, "a b c d e f"), (3, "others stand in here now")]).withColumns(mine)
+    for kept in (simhash.keep_one(frame), near.keep_one(frame)):
+        assert kept.columns == frame.columns
+        assert sorted((r["doc_id"], *(r[c] for c in mine)) for r in kept.collect()) == [(1, *["MINE"] * len(mine)), (3, *["MINE"] * len(mine))]
+
+
 # Near copies
 
 
+def test_texts_of_one_hash_are_kept_apart(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rows = [(k, f"text {k // 2} of several words and more") for k in range(12)] + [(20, None), (21, "")]
+    want = [0, 2, 4, 6, 8, 10, 20]
+    assert sorted(r["doc_id"] for r in neardup.keep_one(docs(spark, rows)).collect()) == want
+    monkeypatch.setattr(neardup, "_node", lambda: F.pmod(F.xxhash64(neardup._text()), F.lit(3)))
+    assert sorted(r["doc_id"] for r in neardup.keep_one(docs(spark, rows)).collect()) == want
+
+
 def test_near_copies_equal_brute_force(spark):
     import corpus_pipeline
 
@@ -228,6 +251,14 @@ def test_one_text_of_many_lines(spark):
     assert got[2]["n_dropped"] == 200_000 and got[2]["text"] == "and its own end"
 
 
+def test_every_line_that_recurs_goes_if_asked_for(spark):
+    rows = [(1, "short foot\nalone here"), (2, "other text\nshort foot"), (3, "x\nshort foot"), (4, "x\nbye now"), (5, "one two three red five"), (6, "one two three blue five")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in linededup.dedup(frame).collect()} == dict(rows)
+    got = {r["doc_id"]: r["text"] for r in linededup.dedup(frame, linededup.EVERY_LINE).collect()}
+    assert got == {1: rows[0][1], 2: "other text", 3: "x", 4: "bye now", 5: rows[4][1], 6: ""}
+
+
 def test_short_templates_need_many_lines(spark):
     names = ["".join(chr(97 + (i * 7 + k * k) % 26) for k in range(6)) + str() for i in range(26)]
     line = "posted here by {} in our section".format

@@ -47,6 +47,10 @@ class Settings:
     keep_first: bool = True
 
 
+#: Drops every line and template that two documents share, however short: nothing is left to chance meetings.
+EVERY_LINE = Settings(brief=0, short=0)
+
+
 def _document() -> Column:
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
 

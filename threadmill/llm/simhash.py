@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, per_batch, utf8
+from .common import cut, own_name, per_batch, utf8
 from .components import components
 
 SEED = 42
@@ -221,6 +221,7 @@ def keep_one(docs: DataFrame, width: int = 5, bits: int = 4) -> DataFrame:
     name them.
     """
     first = groups(docs, width, bits).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.withColumn("__text", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))).join(first, "doc_id", "left_semi")
-    named = named.dropDuplicates(["doc_id", "__text"])
+    body = own_name(docs, "__text")
+    named = docs.withColumn(body, F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))).join(first, "doc_id", "left_semi")
+    named = named.dropDuplicates(["doc_id", body])
     return named.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
