@@ -151,3 +151,21 @@ def test_query_digests(spark, data):
         assert mine.n_tokens == len(ids) and mine.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert mine.spanned_bytes == len((r["text"] or "").encode())
         assert mine.decoded_sha256 == hashlib.sha256(library.decode(ids).encode()).hexdigest()
+
+
+def test_packed_query(spark, data):
+    """The registered query's rows, against the tokenizer itself."""
+    from threadmill.llm.queries import queries
+
+    got = queries()["op4_packing"](spark, data).toPandas().sort_values(["doc_id", "start"])
+    ids = {r["doc_id"]: [*encoder().tokenizer.encode(r["text"] or "", add_special_tokens=False).ids, 1] for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    assert set(got.doc_id) == set(ids)
+    for doc, pieces in got.groupby("doc_id"):
+        assert pieces.start.tolist() == (pieces.length.cumsum() - pieces.length).tolist() and pieces.length.sum() == len(ids[doc])
+        assert set(pieces.doc_tokens) == {len(ids[doc])}
+        for p in pieces.itertuples():
+            assert p.ids_crc32 == zlib.crc32(np.array(ids[doc][p.start : p.start + p.length], "<u4").tobytes())
+    for _, pieces in got.sort_values("offset").groupby("sequence_id"):
+        assert pieces.offset.tolist() == (pieces.length.cumsum() - pieces.length).tolist() and pieces.length.sum() <= 2048
+    fill = got.groupby("sequence_id").length.sum()
+    assert got.length.sum() / sum(2048 if n & (n - 1) else n for n in fill.tolist()) > 0.97
