@@ -96,6 +96,18 @@ def test_prefix_in_units_splits_no_pair(spark, n):
     assert [r["p"] for r in got] == [None if t is None else cut(t) for t in texts]
 
 
+def test_images_of_markup(spark):
+    from threadmill.operators import images
+
+    text = """<img src="a.png" width=60 alt="A &amp; B"><div style="color:red"></div><div style='x; background-image: url("bg.png")'>
+<IMG SRC=blob:1 WIDTH="800px"/><img src=small.png width=50><img width=99><img src=none.png><!-- <img src=no width=99> --><span style="background-image:url(no)"></span></div>"""
+    rows = spark.createDataFrame([("c", 0, "user", text), ("c", 1, "user", "no"), ("c", 2, "user", None)], "chat_url string, index long, role string, html string")
+    made = images.with_images(images.from_html(rows))
+    got = images.listing(made, 3).orderBy("image_index").collect()
+    assert [(r["src"], r["alt"], r["is_blob"]) for r in got] == [("a.png", "A & B", False), ("blob:1", "", True), ("bg.png", "", False)]
+    assert [r["src"] for r in images.pick(made, 0, 2).collect()] == ["bg.png"]
+
+
 def test_attributes(spark):
     tag = """<a b="1" c='2' d=3/4 e f = "x>y" B=again data-x=''>"""
     names, values = markup.attributes(F.lit(tag))

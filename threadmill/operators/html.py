@@ -37,7 +37,7 @@ def pieces(page: Column) -> Column:
     return F.regexp_extract_all(page, F.lit(TOKEN), 0)
 
 
-def _is(token: Column, start: str, *names: str) -> Column:
+def is_tag(token: Column, start: str, *names: str) -> Column:
     """Whether a token is such a tag; one that the page's end cuts off is not."""
     return token.rlike(rf"(?i)^{start}(?:{'|'.join(names)})(?=[\s/>])") & F.endswith(token, F.lit(">"))
 
@@ -111,7 +111,7 @@ def shown(text: Column) -> Column:
 
 def _said(token: Column) -> Column:
     """What a token adds to the text around it; null if nothing."""
-    return F.when(_is_text(token), token).when(_is(token, "<", "br"), F.lit(_BREAK))
+    return F.when(_is_text(token), token).when(is_tag(token, "<", "br"), F.lit(_BREAK))
 
 
 def inner_links(page: Column, around: str = "nav") -> Column:
@@ -122,16 +122,16 @@ def inner_links(page: Column, around: str = "nav") -> Column:
     """
     kind = "struct<depth:int,href:string,label:string,out:array<struct<href:string,label:string>>>"
     start = F.struct(F.lit(0).alias("depth"), F.lit(None).cast("string").alias("href"), F.lit("").alias("label"), F.array().cast("array<struct<href:string,label:string>>").alias("out"))
-    wanted = F.filter(pieces(page), lambda t: _is_text(t) | _is(t, "</?", around, "a", "br"))
+    wanted = F.filter(pieces(page), lambda t: _is_text(t) | is_tag(t, "</?", around, "a", "br"))
 
     def step(s: Column, t: Column) -> Column:
-        ends = _is(t, "</", around)
-        opens = _is(t, "<", "a")
-        closes = s["href"].isNotNull() & (opens | _is(t, "</", "a") | (ends & (s["depth"] <= 1)))
+        ends = is_tag(t, "</", around)
+        opens = is_tag(t, "<", "a")
+        closes = s["href"].isNotNull() & (opens | is_tag(t, "</", "a") | (ends & (s["depth"] <= 1)))
         names, values = attributes(t)
         here = F.when(s["depth"] > 0, F.get(values, F.array_position(names, "href").cast("int") - 1))
         return F.struct(
-            F.when(_is(t, "<", around), s["depth"] + 1).when(ends, F.greatest(s["depth"] - 1, F.lit(0))).otherwise(s["depth"]).alias("depth"),
+            F.when(is_tag(t, "<", around), s["depth"] + 1).when(ends, F.greatest(s["depth"] - 1, F.lit(0))).otherwise(s["depth"]).alias("depth"),
             F.when(opens, here).when(~closes, s["href"]).alias("href"),
             F.when(opens, "").when(s["href"].isNotNull(), F.concat(s["label"], F.coalesce(_said(t), F.lit("")))).otherwise("").alias("label"),
             F.when(closes, F.concat(s["out"], F.array(F.struct(s["href"].alias("href"), s["label"].alias("label"))))).otherwise(s["out"]).alias("out"),

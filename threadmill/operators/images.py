@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import style_url
 from ..sources.messages import last
+from . import html
 
 # Fixed value: narrower images are icons.
 MIN_WIDTH = 50
@@ -22,6 +23,23 @@ def with_images(messages: DataFrame, narrowest: int = MIN_WIDTH) -> DataFrame:
     return messages.withColumn("images", F.concat(tags, backgrounds)).drop("imgs", "bg_styles")
 
 
+def from_html(messages: DataFrame) -> DataFrame:
+    """``messages`` with imgs and bg_styles, as ``with_images`` takes them, from the markup in column html.
+
+    An image's width is its attribute's number, or zero without one. Backgrounds
+    are those of ``div`` elements, in the order of the page.
+    """
+    tags = F.filter(html.pieces(F.col("html")), lambda t: html.is_tag(t, "<", "img", "div"))
+    value = lambda t, name: F.coalesce(html.attribute(t, name), F.lit(""))
+    width = lambda t: F.coalesce(F.regexp_extract(value(t, "width"), r"^\s*(\d{1,9})", 1).try_cast("int"), F.lit(0))
+    imgs = F.transform(
+        F.filter(tags, lambda t: html.is_tag(t, "<", "img")),
+        lambda t: F.struct(value(t, "src").alias("src"), value(t, "alt").alias("alt"), width(t).alias("width")),
+    )
+    styles = F.transform(F.filter(tags, lambda t: html.is_tag(t, "<", "div")), lambda t: value(t, "style"))
+    return messages.withColumns({"imgs": imgs, "bg_styles": F.filter(styles, lambda s: F.contains(s, F.lit("background-image")))})
+
+
 def messages_with(messages: DataFrame, include_images: bool = True) -> DataFrame:
     """Messages with the column images, or without it and all that it is made from."""
     return with_images(messages) if include_images else messages.drop("imgs", "bg_styles")
