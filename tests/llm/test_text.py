@@ -131,6 +131,16 @@ def test_columns_of_any_name_stay(spark):
 # Near copies
 
 
+def test_sketches_lose_no_pair_at_the_similarity():
+    rng = np.random.default_rng(3)
+    functions, most, worst = neardup._functions(), neardup.most_apart(0.8), 0
+    for _ in range(400):
+        shared = rng.integers(0, 1 << 63, 80, dtype=np.uint64)
+        pair = [neardup.sketch(neardup.minima(np.append(shared, rng.integers(0, 1 << 63, 10, dtype=np.uint64)), functions)) for _ in range(2)]
+        worst = max(worst, sum((int(x) ^ int(y)).bit_count() if x * y >= 0 else ((int(x) ^ int(y)) & (1 << 64) - 1).bit_count() for x, y in zip(*pair)))
+    assert worst <= most < 150 / 2
+
+
 def test_texts_of_one_hash_are_kept_apart(spark, monkeypatch):
     from pyspark.sql import functions as F
 
