@@ -307,12 +307,12 @@ n AS (SELECT *, CASE WHEN kind IN ('start', 'end', 'raw') THEN regexp_extract(t,
 c AS (SELECT *, CASE WHEN kind = 'start' AND name NOT IN ('br', 'meta', 'img', 'link', 'hr', 'input') THEN 1 WHEN kind = 'end' THEN -1 ELSE 0 END AS change FROM n)
 SELECT page_id, CAST(place AS BIGINT) AS place, kind, name, CASE kind WHEN 'text' THEN {_plain("t")} WHEN 'comment' THEN t
  WHEN 'raw' THEN CASE name WHEN 'title' THEN {_plain("regexp_extract(t, '(?s)^<title>(.*)</title>$', 1)")} ELSE regexp_extract(t, '(?s)^<[^>]*>(.*)</[a-z]+>$', 1) END END AS text,
- nullif(regexp_extract(t, 'href="([^"]*)"', 1), '') AS href, CASE WHEN kind IN ('start', 'raw') THEN len(regexp_extract_all(regexp_extract(t, '^<[^>]*>'), '="'))::INTEGER END AS n_attributes,
+ nullif(regexp_extract(t, 'href="([^"]*)"', 1), '') AS href, CASE WHEN kind IN ('start', 'raw') THEN len(regexp_extract_all(regexp_extract(t, '^<[^>]*>'), '="'))::INTEGER ELSE 0 END AS n_attributes,
  CAST(greatest(0, coalesce(sum(change) OVER (PARTITION BY page_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS BIGINT) AS depth FROM c"""
 )
 def html_tokens(spark, sf_dir):
     found = html.tokens(messages.table(spark, sf_dir, "pages"))
-    return found.withColumn("href", F.col("attributes")["href"]).withColumn("n_attributes", F.when(F.col("attributes").isNotNull(), F.size("attributes"))).drop("attributes")
+    return found.withColumn("href", F.col("attributes")["href"]).withColumn("n_attributes", F.greatest(F.lit(0), F.size("attributes"))).drop("attributes")
 
 
 # Images, from inline rows
@@ -547,8 +547,12 @@ def load_found_keys(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
+    from . import stream_queries  # noqa: F401  they register themselves
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import stream_queries  # noqa: F401
+
     return dict(_SQL)

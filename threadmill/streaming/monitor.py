@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from ..functions.text import UNKNOWN_ROLE, or_default
 from ..operators import triggers
@@ -133,9 +134,9 @@ def latest(spark: SparkSession, folder: str, schema: str) -> DataFrame:
 
 
 def read_json(spark: SparkSession, folder: str, schema: str) -> DataFrame:
-    """JSON lines of a known schema, partition columns among it; a folder that is empty or not there has no rows."""
+    """JSON lines of a known schema, wanted partition columns among it; a folder that is empty or not there has no rows."""
     try:
-        return spark.read.schema(schema).json(folder)
+        return spark.read.schema(schema).json(folder).select(StructType.fromDDL(schema).names)
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise

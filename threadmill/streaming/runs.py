@@ -86,6 +86,16 @@ class Looks(StreamingQueryListener):
                 run.last_error = named[-1] if named else event.exception.split("\n", 1)[0]
                 run.last_error_at = time.time()
 
+    def settle(self, query: StreamingQuery, seconds: float = 30.0) -> None:
+        """Wait until the last batch and the end of a stopped query have been reported."""
+        last, end = query.lastProgress, time.time() + seconds
+        while time.time() < end:
+            with self._lock:
+                run = self._run(query.runId)
+                if not run.running and (last is None or run.batches and max(run.batches) >= last["batchId"]):
+                    return
+            time.sleep(0.05)
+
     def count(self, run_id: object) -> Count:
         """What is known of a run so far."""
         with self._lock:
