@@ -305,11 +305,11 @@ def test_query_equals_sql(spark, data, name):
     for file in os.listdir(data):
         if file.endswith(".parquet"):
             con.execute(f"create view {file[:-8]} as select * from '{data}/{file}'")
-    ours, sql = llm_queries.queries()[name](spark, data).toPandas(), con.sql(llm_queries.oracle_sql()[name]).df()
+    ours, sql = llm_queries.queries()[name](spark, data), con.sql(llm_queries.oracle_sql()[name])
     columns = sorted(ours.columns)
     assert columns == sorted(sql.columns)
-    plain = lambda frame: sorted(map(repr, frame[columns].astype(object).where(frame[columns].notna(), None).itertuples(index=False, name=None)))
-    assert plain(ours) == plain(sql)
+    places = [sql.columns.index(c) for c in columns]
+    assert sorted(repr(tuple(r[c] for c in columns)) for r in ours.collect()) == sorted(repr(tuple(r[k] for k in places)) for r in sql.fetchall())
 
 
 # Pipeline
