@@ -68,11 +68,10 @@ def _named() -> Column:
 def _character(number: Column) -> Column:
     """The character of a number; those of no character become the sign for one that is unknown."""
     # the second block of controls is read as the code page that writers meant
-    old = {k: bytes([k]).decode("cp1252", "ignore") for k in range(0x80, 0xA0)}
-    meant = F.create_map(*[F.lit(x) for k, c in old.items() if c for x in (k, c)])
+    meant = "".join(bytes([k]).decode("cp1252", "ignore") or chr(k) for k in range(0x80, 0xA0))
     bad = number.isNull() | (number == 0) | (number > 0x10FFFF) | number.between(0xD800, 0xDFFF)
     plain = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
-    return F.when(bad, "�").otherwise(F.coalesce(F.try_element_at(meant, number.cast("int")), plain))
+    return F.when(bad, "�").when(number.between(0x80, 0x9F), F.substring(F.lit(meant), (number - 0x7F).cast("int"), F.lit(1))).otherwise(plain)
 
 
 def unescape(text: Column, inside_tag: bool = False) -> Column:
@@ -83,15 +82,17 @@ def unescape(text: Column, inside_tag: bool = False) -> Column:
     """
     parts = F.regexp_extract_all(text, F.lit(r"(?s)&(?:#[0-9]++;?|#[xX][0-9a-fA-F]++;?|[a-zA-Z][a-zA-Z0-9]*+;?+=?)|&|[^&]++"), 0)
 
+    named = _named()
+
     def replaced(part: Column) -> Column:
         body = F.regexp_replace(F.substring(part, 2, 1 << 20), "=$", "")
         digits = F.regexp_replace(part, "[^0-9a-fA-F]", "")
         number = F.when(F.length(digits) > 12, F.lit(1 << 40)).when(part.rlike("^&#[xX]"), F.conv(digits, 16, 10).cast("long")).otherwise(digits.cast("long"))
-        whole = F.try_element_at(_named(), body)
+        whole = F.try_element_at(named, body)
         lengths = F.when(F.length(body) > 1, F.sequence(F.length(body) - 1, F.lit(1))).otherwise(F.array().cast("array<int>"))
-        known = F.filter(lengths, lambda n: F.try_element_at(_named(), F.substring(body, F.lit(1), n)).isNotNull())
+        known = F.filter(lengths, lambda n: F.try_element_at(named, F.substring(body, F.lit(1), n)).isNotNull())
         longest = F.get(known, 0)
-        old = F.concat(F.try_element_at(_named(), F.substring(body, F.lit(1), longest)), F.substring(part, longest + 2, F.lit(1 << 20)))
+        old = F.concat(F.try_element_at(named, F.substring(body, F.lit(1), longest)), F.substring(part, longest + 2, F.lit(1 << 20)))
         rest = F.when(F.endswith(part, F.lit("=")), "=").otherwise("")
         if inside_tag:
             closed = F.endswith(body, F.lit(";")) | ~F.endswith(part, F.lit("="))
@@ -109,9 +110,25 @@ def shown(text: Column) -> Column:
     return strip(F.regexp_replace(even, f" ?{_BREAK} ?", "\n"))
 
 
-def _said(token: Column) -> Column:
-    """What a token adds to the text around it; null if nothing."""
-    return F.when(_is_text(token), token).when(is_tag(token, "<", "br"), F.lit(_BREAK))
+def _coded(page: Column) -> Column:
+    """The page's tokens, each with what it opens or closes in lower case (``<a``, ``</a``), ``text``, or nothing.
+
+    A fold looks at its token many times, so what it asks for is told once.
+    """
+    start = lambda t: F.lower(F.regexp_extract(t, r"^</?[a-zA-Z][^\s/>]*", 0))
+    tag = lambda t: F.when(~F.startswith(t, F.lit("<")), "text").when(F.endswith(t, F.lit(">")), start(t)).when(_is_text(t), "text").otherwise("")
+    return F.transform(pieces(page), lambda t: F.struct(tag(t).alias("tag"), t.alias("t")))
+
+
+def _said(coded: Column) -> Column:
+    """What a token adds to the text around it."""
+    return F.when(coded["tag"] == "text", coded["t"]).when(coded["tag"] == "<br", F.lit(_BREAK)).otherwise("")
+
+
+def _value(tag: Column, name: str) -> Column:
+    """The value of an attribute as written, null without one."""
+    names, values = attributes(tag)
+    return F.when(F.contains(F.lower(tag), F.lit(name)), F.get(values, F.array_position(names, name).cast("int") - 1))
 
 
 def inner_links(page: Column, around: str = "nav") -> Column:
@@ -121,26 +138,21 @@ def inner_links(page: Column, around: str = "nav") -> Column:
     outermost ``around``. Labels hold the text of all that is nested in them.
     """
     kind = "struct<depth:int,href:string,label:string,out:array<struct<href:string,label:string>>>"
+    link = lambda s: F.array(F.struct(s["href"].alias("href"), s["label"].alias("label")))
     start = F.struct(F.lit(0).alias("depth"), F.lit(None).cast("string").alias("href"), F.lit("").alias("label"), F.array().cast("array<struct<href:string,label:string>>").alias("out"))
-    wanted = F.filter(pieces(page), lambda t: _is_text(t) | is_tag(t, "</?", around, "a", "br"))
-
-    def step(s: Column, t: Column) -> Column:
-        ends = is_tag(t, "</", around)
-        opens = is_tag(t, "<", "a")
-        closes = s["href"].isNotNull() & (opens | is_tag(t, "</", "a") | (ends & (s["depth"] <= 1)))
-        names, values = attributes(t)
-        here = F.when(s["depth"] > 0, F.get(values, F.array_position(names, "href").cast("int") - 1))
+    wanted = F.filter(_coded(page), lambda c: c["tag"].isin("text", "<a", "</a", f"<{around}", f"</{around}", "<br"))
+
+    def step(s: Column, c: Column) -> Column:
+        tag = c["tag"]
+        closes = s["href"].isNotNull() & ((tag == "<a") | (tag == "</a") | ((tag == f"</{around}") & (s["depth"] <= 1)))
         return F.struct(
-            F.when(is_tag(t, "<", around), s["depth"] + 1).when(ends, F.greatest(s["depth"] - 1, F.lit(0))).otherwise(s["depth"]).alias("depth"),
-            F.when(opens, here).when(~closes, s["href"]).alias("href"),
-            F.when(opens, "").when(s["href"].isNotNull(), F.concat(s["label"], F.coalesce(_said(t), F.lit("")))).otherwise("").alias("label"),
-            F.when(closes, F.concat(s["out"], F.array(F.struct(s["href"].alias("href"), s["label"].alias("label"))))).otherwise(s["out"]).alias("out"),
+            F.when(tag == f"<{around}", s["depth"] + 1).when(tag == f"</{around}", F.greatest(s["depth"] - 1, F.lit(0))).otherwise(s["depth"]).alias("depth"),
+            F.when(tag == "<a", F.when(s["depth"] > 0, _value(c["t"], "href"))).when(~closes, s["href"]).alias("href"),
+            F.when(s["href"].isNull() | closes, "").otherwise(F.concat(s["label"], _said(c))).alias("label"),
+            F.when(closes, F.concat(s["out"], link(s))).otherwise(s["out"]).alias("out"),
         ).cast(kind)
 
-    def finish(s: Column) -> Column:
-        return F.when(s["href"].isNotNull(), F.concat(s["out"], F.array(F.struct(s["href"].alias("href"), s["label"].alias("label"))))).otherwise(s["out"])
-
-    return F.aggregate(wanted, start.cast(kind), step, finish)
+    return F.aggregate(wanted, start.cast(kind), step, lambda s: F.when(s["href"].isNotNull(), F.concat(s["out"], link(s))).otherwise(s["out"]))
 
 
 def first_text(page: Column, name: str, mark: tuple[str, str] | None = None) -> Column:
@@ -148,22 +160,22 @@ def first_text(page: Column, name: str, mark: tuple[str, str] | None = None) ->
     kind = "struct<name:string,open:int,text:string>"
     start = F.struct(F.lit(None).cast("string").alias("name"), F.lit(0).alias("open"), F.lit("").alias("text"))
 
-    def step(s: Column, t: Column) -> Column:
-        tag = F.lower(F.regexp_extract(t, r"^</?([a-zA-Z][^\s/>]*)", 1))
-        found = tag == name
+    def step(s: Column, c: Column) -> Column:
+        tag = c["tag"]
+        found = tag == f"<{name}"
         if mark:
-            names, values = attributes(t)
-            found = found | F.coalesce(F.get(values, F.array_position(names, mark[0]).cast("int") - 1) == mark[1], F.lit(False))
-        opens = s["name"].isNull() & t.rlike("^<[a-zA-Z]") & ~tag.isin(*VOID) & found
+            marked = F.coalesce(_value(c["t"], mark[0]) == mark[1], F.lit(False))
+            found = found | (F.startswith(tag, F.lit("<")) & ~F.startswith(tag, F.lit("</")) & ~tag.isin(*[f"<{v}" for v in VOID]) & marked)
+        opens = s["name"].isNull() & found
         inside = s["open"] > 0
-        change = F.when(opens, 1).when(~inside | (tag != s["name"]), 0).when(F.startswith(t, F.lit("</")), -1).otherwise(1)
+        change = F.when(opens, 1).when(~inside, 0).when(tag == F.concat(F.lit("<"), s["name"]), 1).when(tag == F.concat(F.lit("</"), s["name"]), -1).otherwise(0)
         return F.struct(
-            F.when(opens, tag).otherwise(s["name"]).alias("name"),
+            F.when(opens, F.substring(tag, 2, 1 << 20)).otherwise(s["name"]).alias("name"),
             (s["open"] + change).alias("open"),
-            F.when(inside, F.concat(s["text"], F.coalesce(_said(t), F.lit("")))).otherwise(s["text"]).alias("text"),
+            F.when(inside, F.concat(s["text"], _said(c))).otherwise(s["text"]).alias("text"),
         ).cast(kind)
 
-    return F.aggregate(pieces(page), start.cast(kind), step, lambda s: s["text"])
+    return F.aggregate(_coded(page), start.cast(kind), step, lambda s: s["text"])
 
 
 def tokens(pages: DataFrame) -> DataFrame:
