@@ -166,6 +166,19 @@ def test_keys_expire(spark, tmp_path):
         query.stop()
 
 
+def test_throttle_over_batches(spark, tmp_path):
+    from threadmill.operators import throttle
+
+    checks = [("a", t) for t in (0.0, 6.0, 12.0, 18.0, 24.0, 24.0)] + [("b", t) for t in (0.0, 9.999, 10.0)] + [(None, 1.0)]
+    for k, part in enumerate((checks[:3] + checks[6:8], checks[3:6] + checks[8:])):
+        land(tmp_path / "in", f"{k}.json", part, ("chat_url", "ts"))
+        stream = spark.readStream.schema("chat_url string, ts double").json(str(tmp_path / "in"))
+        monitor.run_once(monitor.append_json(state.accepted(stream), str(tmp_path / "out"), str(tmp_path / "check")))
+    got = sorted(map(tuple, monitor.read_json(spark, str(tmp_path / "out"), "chat_url string, ts double").collect()))
+    assert got == [("a", 0.0), ("a", 12.0), ("a", 24.0), ("b", 0.0), ("b", 10.0)]
+    assert got == sorted(map(tuple, throttle.accepted(spark.createDataFrame(checks, "chat_url string, ts double")).collect()))
+
+
 def test_triggers_of_new_messages_over_two_kinds_of_state(spark, tmp_path):
     """Marks feed triggers, and both are read from the checkpoint."""
     land(tmp_path / "in", "1.json", [("a", i, "user", "архитектор") for i in range(8)])

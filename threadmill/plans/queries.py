@@ -472,7 +472,7 @@ def text_functions(spark, sf_dir):
 
 # The same operators over tables
 
-_GAP = 12 * 3600
+GAP = 12.0 * 3600
 
 
 def _event_micros() -> Column:
@@ -480,17 +480,19 @@ def _event_micros() -> Column:
     return F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))")
 
 
+def event_checks(events: DataFrame) -> DataFrame:
+    """Events as checks (chat_url, ts) of a chat, one for each user."""
+    return events.select(F.col("user_id").cast("string").alias("chat_url"), (_event_micros() / F.lit(1000000.0)).alias("ts"))
+
+
 @query(
     f"""WITH RECURSIVE k AS (SELECT CAST(user_id AS VARCHAR) AS chat_url, epoch_us(ts) / 1000000::DOUBLE AS ts FROM events),
-a AS (SELECT chat_url, min(ts) AS ts FROM k GROUP BY chat_url UNION ALL SELECT a.chat_url, min(k.ts) FROM a JOIN k ON k.chat_url = a.chat_url AND k.ts - a.ts >= {_GAP} GROUP BY a.chat_url)
+a AS (SELECT chat_url, min(ts) AS ts FROM k GROUP BY chat_url UNION ALL SELECT a.chat_url, min(k.ts) FROM a JOIN k ON k.chat_url = a.chat_url AND k.ts - a.ts >= {GAP} GROUP BY a.chat_url)
 SELECT chat_url, ts FROM a"""
 )
 def throttle_events(spark, sf_dir):
     """Events of a user as checks of a chat: the first, then each at least half a day after the last one taken."""
-    seen = messages.table(spark, sf_dir, "events")
-    checks = seen.select(F.col("user_id").cast("string").alias("chat_url"), (_event_micros() / F.lit(1000000.0)).alias("ts"))
-    # of several events of one moment one is taken
-    return throttle.accepted(checks, float(_GAP))
+    return throttle.accepted(event_checks(messages.table(spark, sf_dir, "events")), GAP)
 
 
 _EVENT_POLLS = """p AS (SELECT CAST(user_id AS VARCHAR) AS key, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS poll_no,

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..sources import messages
 from ..streaming import counts, monitor, runs, state
-from .queries import _COUNT, _FIND, _KEY, _MSG, _SENT, _STATE, PATTERNS, marked_states, query
+from .queries import _COUNT, _FIND, _KEY, _MSG, _SENT, _SQL, _STATE, GAP, PATTERNS, event_checks, marked_states, query
 
 
 def workspace(spark: SparkSession) -> str:
@@ -81,6 +81,15 @@ def stream_watch(spark, sf_dir):
     return consumer.taken().select("chat_url", "type", "new_count", flat.alias("messages"), "total_count")
 
 
+@query(_SQL["throttle_events"])
+def stream_throttle(spark, sf_dir):
+    """Events of a user as a stream of checks: the first, then each at least half a day after the last one taken."""
+    at, path = workspace(spark), f"{sf_dir}/events.parquet"
+    events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/[e]vents.parquet")
+    monitor.run_once(monitor.append_json(state.accepted(event_checks(events), GAP), f"{at}/log", f"{at}/check"))
+    return monitor.read_json(spark, f"{at}/log", "chat_url string, ts double")
+
+
 @query(f"WITH {_MSG} SELECT chat_url, count(*) AS message_count, count(*) FILTER (role = 'assistant') AS assistant_count FROM m GROUP BY chat_url")
 def stream_counts(spark, sf_dir):
     """Counts that a stream keeps up."""

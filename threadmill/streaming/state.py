@@ -11,13 +11,14 @@ from collections import Counter
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.text import WATCH_PREVIEW
-from ..operators import external
+from ..operators import external, throttle
 from ..sources import messages
 
 MARK = "last_seen_count long"
@@ -213,6 +214,34 @@ def watched(seen: DataFrame, sent: DataFrame, first: int | None = None, compat:
     return rows.groupBy("chat_url").transformWithStateInPandas(_Watch(first, compat), EVENT, "Append", "None", initialState=initial)
 
 
+class _Throttle(StatefulProcessor):
+    """When a chat was last taken."""
+
+    def __init__(self, gap: float):
+        self.gap = gap
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "ts double")
+
+    def handleInputRows(self, key: tuple[Any, ...], rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        last = self.last.get()[0] if self.last.exists() else None
+        taken = []
+        for ts in np.sort(np.concatenate([some["ts"].to_numpy(float) for some in rows])).tolist():
+            if last is None or ts - last >= self.gap:
+                taken.append(ts)
+                last = ts
+        if taken:
+            self.last.update((last,))
+            yield pd.DataFrame({"chat_url": key[0], "ts": taken})
+
+
+def accepted(checks: DataFrame, gap: float = throttle.GAP) -> DataFrame:
+    """The streaming form of ``throttle.accepted``: checks (chat_url, ts) of a chat come in order over batches."""
+    prepare(checks.sparkSession)
+    rows = checks.where("chat_url IS NOT NULL AND ts IS NOT NULL").select("chat_url", "ts")
+    return rows.groupBy("chat_url").transformWithStateInPandas(_Throttle(gap), "chat_url string, ts double", "Append", "None")
+
+
 # State as tables, also of a query that runs: what its last finished batch left.
 
 
