@@ -23,12 +23,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import steps, utf8
+from .common import give_back, steps, utf8
 from .merges import PairTable
 from .parts import Parts
 
 #: Parts that a worker remembers.
-CACHE_PARTS = 300_000
+CACHE_PARTS = 100_000
 #: Documents that are encoded together.
 STEP_ROWS = 2048
 #: The first letter beyond those whose normal form is plain.
@@ -274,6 +274,8 @@ def pack(
             settle()
         if rows:
             yield emit(rows)
+        rows.clear()
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
         run, SCHEMA
