@@ -246,6 +246,35 @@ def test_a_start_clears_queue_and_counters_but_not_what_was_handled(spark, tmp_p
         spark.streams.removeListener(looks)
 
 
+def test_status_counts_more_keys_than_a_capped_memory_holds(spark, tmp_path):
+    """The registered query against its SQL, with more triggers than the cap."""
+    import duckdb
+
+    from threadmill.plans import queries as plans
+
+    n = triggers.CAP + 700
+    rows = spark.range(n).select((F.col("id") % 900).alias("conv_id"), F.floor(F.col("id") / 900).alias("turn"), F.lit("user").alias("role"), F.concat(F.lit("see the "), F.col("id")).alias("text"))
+    path = str(tmp_path / "conversations.parquet")
+    rows.write.parquet(path)
+    got = [tuple(r) for r in plans.queries()["stream_status"](spark, str(tmp_path)).collect()]
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{path}/*.parquet')")
+    assert got == db.execute(plans.oracle_sql()["stream_status"]).fetchall() and got[0][2:6] == (n, n, n, 900)
+
+
+def test_keys_that_are_all_kept(spark, tmp_path):
+    schema = "chat_url string, message_index long, key string"
+    known = spark.createDataFrame([("k0003",), (None,)], "key string")
+    for name, keys in (("1.json", [1, 2, 3, 1]), ("2.json", [4, 1, 2, 5])):
+        land_keys(tmp_path, name, keys)
+        found = state.once(spark.readStream.schema(schema).json(str(tmp_path / "in")), known)
+        monitor.run_once(monitor.append_json(found, str(tmp_path / "out"), str(tmp_path / "check")))
+    got = sorted(r["key"] for r in monitor.read_json(spark, str(tmp_path / "out"), schema).collect())
+    assert got == ["k0001", "k0002", "k0004", "k0005"] == sorted(r["key"] for r in state.live_once(spark, str(tmp_path / "check")).collect())
+    with pytest.raises(ValueError):
+        monitor.trigger_stream(monitor.landed(spark, str(tmp_path / "in")), triggers.Patterns(), cap=None, ttl_seconds=1)
+
+
 def test_an_error_is_reported(spark, tmp_path):
     looks = runs.Looks()
     spark.streams.addListener(looks)

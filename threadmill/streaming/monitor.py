@@ -40,7 +40,7 @@ def trigger_stream(
     stream: DataFrame,
     patterns: triggers.Patterns,
     project: str = "",
-    cap: int = triggers.CAP,
+    cap: int | None = triggers.CAP,
     buckets: int = 1,
     ttl_seconds: int | None = None,
     known: DataFrame | None = None,
@@ -48,9 +48,14 @@ def trigger_stream(
     """Events of triggered messages, each key once among the ``cap`` seen last, whatever is delivered again.
 
     Only triggers are remembered; ``state.recent_once`` says how, and what
-    ``buckets``, ``ttl_seconds`` and ``known`` do.
+    ``buckets``, ``ttl_seconds`` and ``known`` do. Without a cap every key is
+    kept (``state.once``).
     """
     found = triggers.events(stream, patterns, project).withColumn("key", triggers.event_key())
+    if cap is None:
+        if ttl_seconds is not None:
+            raise ValueError("without a cap no key is forgotten")
+        return state.once(found, known)
     return state.recent_once(found, cap, buckets, ttl_seconds, known)
 
 

@@ -128,6 +128,18 @@ def recent_once(events: DataFrame, cap: int, buckets: int = 1, ttl_seconds: int
     return rows.groupBy("bucket").transformWithStateInPandas(processor, events.schema, "Append", mode, initialState=initial)
 
 
+def once(events: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Rows of a stream whose key was never seen before: every key is kept, each as an entry of its own, so state grows with them.
+
+    Keys of ``known`` (key) count as seen; the table is looked up again in each batch.
+    """
+    prepare(events.sparkSession)
+    rows = events.where("key IS NOT NULL")
+    if known is not None:
+        rows = rows.join(known.where("key IS NOT NULL").select("key").distinct(), "key", "left_anti").select(events.columns)
+    return rows.dropDuplicates(["key"])
+
+
 EVENT = "chat_url string, type string, new_count long, messages array<struct<index:long,role:string,text:string>>, total_count long"
 
 
@@ -261,6 +273,11 @@ def live_keys(spark: SparkSession, checkpoint: str, operator: int = 0) -> DataFr
     return found.select(F.col("user_map_key.key").alias("key"), value.cast("double").alias("first_seen"))
 
 
+def live_once(spark: SparkSession, checkpoint: str, operator: int = 0) -> DataFrame:
+    """key of all that ``once`` has seen."""
+    return spark.read.format("statestore").option("operatorId", operator).load(checkpoint).select(F.col("key.key").alias("key"))
+
+
 def live_sent(spark: SparkSession, checkpoint: str, operator: int = 0) -> DataFrame:
     """chat_url, hash and n of texts that were sent and not yet seen by ``watched``."""
     found = _state(spark, checkpoint, "bag", operator)
