@@ -466,3 +466,42 @@ def test_held_out(spark):
 
     rows = spark.createDataFrame([(i,) for i in range(200)] + [(None,)], "doc_id long").select("doc_id", held_out().alias("h")).collect()
     assert all(r["h"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in rows)
+
+
+def test_toxicity_terms_are_counted_together():
+    """Terms of many texts at once, in batches and beyond what a task remembers, as of each alone; any alphabet."""
+    rng = random.Random(9)
+    odd = ["", "ÄÖÜß Straße straßenbahn", "Я архитектор архитекторы", "İstanbul ﬁnance naïveté", "a1b2_c d", "\x85x\xa0y²z", "ªº µm", "wordsof wordsofa wordsof*", "日本語 テキスト", "x" * 400 + " " + "x" * 400]
+    texts = [t.encode() for t in odd + [words(rng, 30) for _ in range(40)] + odd]
+
+    def plain(text):
+        out = defaultdict(int)
+        for w in re.findall(r"[^\W\d_]+", text.decode().lower()):
+            out[w] += 1
+            if len(w) > 5:
+                out[w[:5] + "*"] += 1
+        return dict(out)
+
+    known = {t: i for i, t in enumerate(sorted({t for x in texts[::2] for t in plain(x)}))}
+    codes = toxicity.Codes(known)
+    names = []
+    for terms, times in codes.counts(texts):
+        named = dict(zip(codes.values(), codes.keys(), strict=True))
+        names.append({named[t]: n for t, n in zip(terms.tolist(), times.tolist(), strict=True)})
+        assert (np.diff(terms) > 0).all()
+    assert names == [plain(x) for x in texts]
+
+
+def test_toxicity_walks_together_as_alone():
+    rng = np.random.default_rng(2)
+    n, size = 3000, 400
+    index = toxicity.Index({f"t{i}": i for i in range(size)}, 1 + rng.random(size), np.zeros(n, np.int64), np.arange(n))
+    bags = [np.unique(rng.zipf(1.2, 15) % size) for _ in range(n)]
+    vectors = [index.vector(b, rng.integers(1, 4, len(b))) for b in bags]
+    index.fill(vectors)
+    some = [*vectors[:30], (np.zeros(0, np.int64), np.zeros(0))]
+    skip = [*range(30), -1]
+    for (rows, cosines, walked), v, s in zip(index.walk(some, index.bases(some), 15, skip), some, skip, strict=True):
+        alone = index.nearest(*v, 15, s)
+        assert rows.tolist() == alone[0].tolist() and np.allclose(cosines, alone[1]) and walked == alone[2] and s not in rows
+    assert not len(index.walk(some, index.bases(some), 15, skip)[-1][0])

@@ -12,9 +12,10 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,8 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, held_out, labelled_sample, per_batch, utf8
+from .common import cut, give_back, held_out, labelled_sample, per_batch, steps, utf8
+from .parts import distinct
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Words count whole and by their first letters, so that rare forms of a known stem tell, too.
@@ -31,23 +33,84 @@ STEM = 5
 BLOCK = 512
 #: Terms that at least one in so many examples has are kept as whole rows.
 COMMON = 16
-#: Weight of the share of label 1 in a vote, where an equal text has 20, and texts that are scored together.
-PRIOR, TOGETHER = 1.0, 256
+#: Weight of the share of label 1 in a vote, where an equal text has 20; texts whose common terms are met together, and those that walk together.
+PRIOR, TOGETHER, WALK = 1.0, 256, 16
+#: Bytes of texts whose terms are counted together, and words that a task remembers.
+COUNTED, WORDS = 2 << 20, 200_000
+UNKNOWN = -2
+#: Which of the first 256 characters are letters.
+LETTER = np.array([bool(WORD.match(chr(k))) for k in range(256)])
 #: Bins of votes in the calibration.
 BINS = 50
 #: Telling terms that are named as evidence at most.
 NAMED = 20
 
 
-def terms_of(text: str) -> dict[str, int]:
-    """How often each word occurs, and each beginning of longer ones, marked with a star."""
-    words = Counter(WORD.findall(text.lower()))
-    out = dict(words)
-    for w, times in words.items():
-        if len(w) > STEM:
-            stem = w[:STEM] + "*"
-            out[stem] = out.get(stem, 0) + times
-    return out
+class Codes(dict):
+    """Numbers of terms: those of an index, and beyond them one for each other term that a task meets."""
+
+    def __init__(self, terms: dict[str, int]):
+        super().__init__(terms)
+        self.terms = terms
+        #: The number of a term's beginning, -1 where it is no longer, UNKNOWN until it is met as a word.
+        self.stem = array("i", [UNKNOWN]) * len(terms)
+
+    def __missing__(self, term: str) -> int:
+        number = self[term] = len(self)
+        self.stem.append(UNKNOWN)
+        return number
+
+    def counts(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Of each text its terms' numbers, in order, and how often each occurs."""
+        low = 0
+        while low < len(texts):
+            high, size = low, 0
+            while high < len(texts) and (high == low or size + len(texts[high]) <= COUNTED):
+                size += len(texts[high])
+                high += 1
+            yield from self._together(texts[low:high])
+            low = high
+            if len(self) > len(self.terms) + WORDS:
+                self.clear()
+                self.update(self.terms)
+                self.stem = array("i", [UNKNOWN]) * len(self.terms)
+
+    def _words(self, texts: list[bytes]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Words, most of them once; for each word of the texts its place among them, and its text."""
+        short, other, owners = [], [], []
+        for k, text in enumerate(texts):
+            text = text.decode().lower()
+            try:
+                short.append(text.encode("latin-1"))
+            except UnicodeEncodeError:  # letters beyond the first 256 characters
+                found = WORD.findall(text)
+                other += found
+                owners.append(np.full(len(found), k))
+                short.append(b"")
+        joined = b" ".join([b"", *short, bytes(8)])
+        inside = LETTER[np.frombuffer(joined, np.uint8)]
+        edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+        starts, ends = edges[::2], edges[1::2]
+        first, place = distinct(joined, starts, ends - starts)
+        words = [joined[a:b].decode("latin-1") for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+        owner = np.searchsorted(np.cumsum([1, *(len(x) + 1 for x in short[:-1])]), starts, side="right") - 1
+        place = np.concatenate([place, np.arange(len(words), len(words) + len(other))])
+        return words + other, place, np.concatenate([owner, *owners])
+
+    def _together(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        words, place, owner = self._words(texts)
+        own = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        for k in np.flatnonzero(np.frombuffer(self.stem, np.int32)[own] == UNKNOWN).tolist() if words else []:
+            # beginnings are marked with a star, so they are no words
+            self.stem[own[k]] = self[words[k][:STEM] + "*"] if len(words[k]) > STEM else -1
+        stem = np.frombuffer(self.stem, np.int32)[own] if words else own
+        span = len(self)
+        own, stem = own[place], stem[place]
+        longer = stem >= 0
+        keys, times = np.unique(np.concatenate([owner * span + own, owner[longer] * span + stem[longer]]), return_counts=True)
+        ends = np.searchsorted(keys, np.arange(len(texts) + 1) * span)
+        for k, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
+            yield (keys[a:b] - k * span).astype(np.int32), times[a:b].astype(np.int32)
 
 
 @dataclass
@@ -72,8 +135,10 @@ class Index:
     ids: np.ndarray
     #: For each term and block the largest weight.
     peaks: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
-    #: For each block: its rarer terms in order, where their postings start, positions and weights.
-    postings: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)
+    #: Postings of rarer terms: for each term and block where they start, the example of each and its weight.
+    starts: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
+    places: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
+    values: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
     #: The row of each common term in ``rows``, or -1, and their weights in all examples.
     common: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     rows: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
@@ -89,26 +154,23 @@ class Index:
 
     def fill(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
         """Postings of all examples in turn; their weights are kept as 32-bit floats and added up as 64-bit ones."""
-        sizes = [len(t) for t, _ in vectors]
-        held = np.bincount(np.concatenate([t for t, _ in vectors]), minlength=len(self.terms)) if vectors else np.zeros(len(self.terms), np.int64)
-        often = np.flatnonzero(held * COMMON > len(vectors))
+        terms = np.concatenate([t for t, _ in vectors]) if vectors else np.zeros(0, np.int64)
+        weights = np.concatenate([w for _, w in vectors]).astype(np.float32) if vectors else np.zeros(0, np.float32)
+        place = np.repeat(np.arange(len(vectors)), [len(t) for t, _ in vectors])
+        blocks = self.block_count
+        often = np.flatnonzero(np.bincount(terms, minlength=len(self.terms)) * COMMON > len(vectors))
         self.common = np.full(len(self.terms), -1, np.int64)
         self.common[often] = np.arange(len(often))
         self.rows = np.zeros((len(often), len(vectors)), np.float32)
-        self.peaks = np.zeros((len(self.terms), self.block_count), np.float32)
-        for block in range(self.block_count):
-            low = block * BLOCK
-            some = vectors[low : low + BLOCK]
-            terms = np.concatenate([t for t, _ in some])
-            place = np.repeat(np.arange(len(some)), sizes[low : low + BLOCK])
-            weights = np.concatenate([w for _, w in some]).astype(np.float32)
-            np.maximum.at(self.peaks[:, block], terms, weights)
-            row = self.common[terms]
-            self.rows[row[row >= 0], low + place[row >= 0]] = weights[row >= 0]
-            terms, place, weights = terms[row < 0], place[row < 0], weights[row < 0]
-            order = np.argsort(terms, kind="stable")
-            names, starts = np.unique(terms[order], return_index=True)
-            self.postings.append((names.astype(np.int32), np.append(starts, len(terms)).astype(np.int32), place[order].astype(np.int16), weights[order]))
+        self.peaks = np.zeros((len(self.terms), blocks), np.float32)
+        np.maximum.at(self.peaks, (terms, place // BLOCK), weights)
+        row = self.common[terms]
+        self.rows[row[row >= 0], place[row >= 0]] = weights[row >= 0]
+        terms, place, weights = terms[row < 0], place[row < 0], weights[row < 0]
+        order = np.lexsort((place, terms))
+        self.places, self.values = place[order].astype(np.int32), weights[order]
+        sizes = np.bincount(terms.astype(np.int64) * blocks + place // BLOCK, minlength=len(self.terms) * blocks)
+        self.starts = np.append(0, np.cumsum(sizes)).astype(np.int32)
 
     def bases(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """What common terms add to the cosine of each vector with each example."""
@@ -118,40 +180,58 @@ class Index:
             asked[i, row[row >= 0]] = weights[row >= 0]
         return asked @ self.rows.astype(np.float64)
 
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1, base: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray, int]:
         """Rows and cosines of the k nearest examples with a cosine above zero, ties to the lower row; and the blocks walked."""
-        if base is None:
-            base = self.bases([(terms, weights)])[0]
+        vectors = [(terms, weights)]
+        return self.walk(vectors, self.bases(vectors), k, [skip])[0]
+
+    def walk(self, vectors: list[tuple[np.ndarray, np.ndarray]], base: np.ndarray, k: int, skip: list[int]) -> list[tuple[np.ndarray, np.ndarray, int]]:
+        """``nearest`` of some vectors at once.
+
+        Each takes its blocks by falling bounds: the first, the next three, then
+        four times as many as before; a round leaves out blocks that cannot
+        reach its k-th best cosine so far.
+        """
+        count, n, blocks = len(vectors), len(self.labels), self.block_count
+        owner = np.repeat(np.arange(count), [len(t) for t, _ in vectors])
+        terms, weights = (np.concatenate([v[i] for v in vectors]) for i in (0, 1))
         rare = self.common[terms] < 0
-        terms, weights = terms[rare], weights[rare]
+        owner, terms, weights = owner[rare], terms[rare].astype(np.int64), weights[rare]
         # the best of a block's common part, and all that its rarer terms can add
-        bounds = np.maximum.reduceat(base, np.arange(0, len(base), BLOCK)) + weights @ self.peaks[terms]
-        rows, scores, floor, walked = np.zeros(0, np.int64), np.zeros(0), 0.0, 0
-        for block in np.argsort(-bounds, kind="stable").tolist():
-            # at equal bounds a lower row may still be waiting, so only a smaller bound ends the walk
-            if bounds[block] <= 0 or len(rows) >= k and bounds[block] < floor - 1e-12:
+        bounds = np.maximum.reduceat(base, np.arange(0, n, BLOCK), axis=1)
+        added = weights[:, None] * self.peaks[terms]
+        for b in range(blocks):
+            bounds[:, b] += np.bincount(owner, added[:, b], minlength=count)
+        turn = np.empty_like(bounds, np.int64)
+        np.put_along_axis(turn, np.argsort(-bounds, axis=1, kind="stable"), np.arange(blocks)[None, :], axis=1)
+        scores = np.full((count, n), -np.inf)
+        floor, walked = np.zeros(count), np.zeros(count, np.int64)
+        own = [(i, x) for i, x in enumerate(skip) if x >= 0]
+        low, high = 0, 1
+        while low < blocks:
+            # at equal bounds a lower row may still be waiting, so only a smaller bound leaves a block out
+            want = (turn >= low) & (turn < high) & (bounds > 0) & (bounds >= floor[:, None] - 1e-12)
+            if not want.any():
                 break
-            walked += 1
-            names, starts, place, values = self.postings[block]
-            got = base[block * BLOCK : (block + 1) * BLOCK]
-            if len(names) and len(terms):
-                at = np.minimum(np.searchsorted(names, terms), len(names) - 1)
-                found = names[at] == terms
-                low, high = starts[at[found]].astype(np.int64), starts[at[found] + 1].astype(np.int64)
-                sizes = high - low
-                picks = np.arange(sizes.sum()) + np.repeat(low - (np.cumsum(sizes) - sizes), sizes)
-                got = got + np.bincount(place[picks], weights=values[picks] * np.repeat(weights[found], sizes), minlength=len(got))
-            hit = np.flatnonzero(got > max(0.0, floor - 1e-9))
-            new = block * BLOCK + hit
-            keep = new != skip
-            rows, scores = np.append(rows, new[keep]), np.append(scores, got[hit[keep]])
-            if len(rows) > k:
-                best = np.lexsort((rows, -np.round(scores, 12)))[:k]
-                rows, scores = rows[best], scores[best]
-            if len(rows) >= k:
-                floor = scores.min()
-        best = np.lexsort((rows, -np.round(scores, 12)))[:k]
-        return rows[best], scores[best], walked
+            walked += want.sum(axis=1)
+            entry, block = np.nonzero(want[owner])
+            cell = terms[entry] * blocks + block
+            start, size = self.starts[cell].astype(np.int64), (self.starts[cell + 1] - self.starts[cell]).astype(np.int64)
+            picks = np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)
+            at = np.repeat(owner[entry] * n, size) + self.places[picks]
+            got = np.bincount(at, weights=self.values[picks] * np.repeat(weights[entry], size), minlength=count * n).reshape(count, n)
+            scores = np.where(np.repeat(want, BLOCK, axis=1)[:, :n], base + got, scores)
+            for i, x in own:
+                scores[i, x] = -np.inf
+            if n > k:
+                floor = np.maximum(0.0, np.partition(scores, n - k, axis=1)[:, n - k])
+            low, high = high, 4 * high
+        out = []
+        for one, least, blocks in zip(scores, floor.tolist(), walked.tolist(), strict=True):
+            rows = np.flatnonzero(one > max(0.0, least - 1e-9))
+            best = rows[np.lexsort((rows, -np.round(one[rows], 12)))[:k]]
+            out.append((best, one[best], blocks))
+        return out
 
 
 @dataclass
@@ -168,15 +248,17 @@ class Model:
     #: Terms that tell the labels apart.
     telling: frozenset[int] = frozenset()
 
-    def counts(self, text: bytes) -> tuple[np.ndarray, np.ndarray, float]:
-        """Terms of the index in the text, in order, how often each occurs, and the squared weight of all others."""
-        tally = terms_of(text.decode())
-        at = np.fromiter(map(self.index.terms.get, tally, repeat(-1)), np.int32, len(tally))
-        times = np.fromiter(tally.values(), np.int32, len(tally))
-        known = at >= 0
-        others = float(((1 + np.log(times[~known])) ** 2).sum()) * self.unseen
-        order = np.argsort(at[known], kind="stable")
-        return at[known][order], times[known][order], others
+    def codes(self) -> Codes:
+        """What counts terms for this model; a task has one of its own."""
+        return Codes(self.index.terms)
+
+    def counts(self, texts: list[bytes], codes: Codes) -> list[tuple[np.ndarray, np.ndarray, float]]:
+        """Of each text its terms in the index, in order, how often each occurs, and the squared weight of all others."""
+        out = []
+        for terms, times in codes.counts(texts):
+            known = int(np.searchsorted(terms, len(self.index.terms)))
+            out.append((terms[:known], times[:known], float(((1 + np.log(times[known:])) ** 2).sum()) * self.unseen))
+        return out
 
     def votes(self, vectors: list[tuple[np.ndarray, np.ndarray]], own: list[int] | None = None) -> list[tuple[float, np.ndarray, np.ndarray] | None]:
         """Vote, rows and cosines of the neighbours of each vector; None without any. Example ``own`` has no vote.
@@ -186,16 +268,18 @@ class Model:
         out = []
         for low in range(0, len(vectors), TOGETHER):
             some = vectors[low : low + TOGETHER]
-            for i, (v, base) in enumerate(zip(some, self.index.bases(some), strict=True)):
-                rows, cosines, _ = self.index.nearest(*v, self.settings.neighbours, -1 if own is None else own[low + i], base)
+            base = self.index.bases(some)
+            skip = [-1] * len(some) if own is None else own[low : low + TOGETHER]
+            found = [x for k in range(0, len(some), WALK) for x in self.index.walk(some[k : k + WALK], base[k : k + WALK], self.settings.neighbours, skip[k : k + WALK])]
+            for rows, cosines, _ in found:
                 near = 1 / (0.05 + np.sqrt(np.maximum(0, 2 - 2 * cosines)))  # the distance of unit vectors
                 vote = (near @ self.index.labels[rows] + PRIOR * self.share) / (near.sum() + PRIOR)
                 out.append((float(vote), rows, cosines) if len(rows) else None)
         return out
 
-    def scores(self, texts: list[bytes]) -> list[tuple[float, list[int], list[float], list[str]]]:
+    def scores(self, texts: list[bytes], codes: Codes) -> list[tuple[float, list[int], list[float], list[str]]]:
         """Of each text the chance of label 1, the neighbours' ids and cosines, and the telling terms found."""
-        counts = [self.counts(t) for t in texts]
+        counts = self.counts(texts, codes)
         if not len(self.index.labels):
             return [(self.silent, [], [], [])] * len(texts)
         out = []
@@ -216,19 +300,16 @@ class Model:
         return self._names
 
 
-def _tally(rows: DataFrame, only: dict[str, int] | None = None) -> DataFrame:
+def _tally(rows: DataFrame) -> DataFrame:
     """term, bad and good: how many rows of each label hold a term; rows are added up in their batch first."""
-    sent = rows.sparkSession.sparkContext.broadcast(only)
 
     def make():
-        known = sent.value
-
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             bad, good = Counter(), Counter()
             for label, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
                 terms = set(WORD.findall(text.decode().lower()))
                 terms |= {w[:STEM] + "*" for w in terms if len(w) > STEM}
-                (bad if label else good).update(terms if known is None else filter(known.__contains__, terms))
+                (bad if label else good).update(terms)
             terms = list(bad | good)
             columns = [pa.array(terms, pa.string()), *[pa.array([c[t] for t in terms], pa.int64()) for c in (bad, good)]]
             return pa.RecordBatch.from_arrays(columns, names=["term", "bad", "good"])
@@ -238,6 +319,24 @@ def _tally(rows: DataFrame, only: dict[str, int] | None = None) -> DataFrame:
     return per_batch(rows, make, "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
 
 
+def _frequencies(docs: DataFrame, terms: dict[str, int]) -> DataFrame:
+    """term and n: how many of ``docs`` hold each of these terms, by number; a task sends what it has added up."""
+    sent = docs.sparkSession.sparkContext.broadcast(terms)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = sent.value
+        codes, total = Codes(known), np.zeros(len(known), np.int64)
+        for batch in steps(batches):
+            for found, _ in codes.counts(utf8(batch.column(0))):
+                total[found[: np.searchsorted(found, len(known))]] += 1
+        held = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), pa.array(total[held])], names=["term", "n"])
+        del codes, known
+        give_back()
+
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
+
+
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) -> Model:
     """Learn from labelled rows; document frequencies count all of ``docs``.
 
@@ -264,9 +363,8 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) ->
     number = docs.count()
     frequency = np.ones(len(terms))
     if terms:
-        everything = docs.select(F.lit(0).alias("label"), F.col("text").cast("string").alias("text"))
-        counted = _tally(everything, terms).toPandas()
-        frequency[[terms[t] for t in counted["term"]]] = counted["good"]
+        counted = _frequencies(docs, terms).toPandas()
+        frequency[counted["term"]] = counted["n"]
     over = np.sqrt(np.maximum(0, seen["gain"].to_numpy(float) - s.chance))
     weight = (np.log((1 + number) / (1 + frequency)) + 1) * (1 + s.telling * over)
 
@@ -280,10 +378,11 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) ->
 
     def examples():
         known = sent.value
+        codes = known.codes()
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             # every term of an example is in the index
-            rows = [known.counts(t) for t in utf8(batch.column(2))]
+            rows = known.counts(utf8(batch.column(2)), codes)
             lists = [pa.array([r[k] for r in rows], pa.list_(pa.int32())) for k in (0, 1)]
             return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], names=["doc_id", "label", "t", "n"])
 
@@ -361,10 +460,10 @@ def score(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
 
     def make():
         known = sent.value
-        threshold = known.settings.threshold
+        codes, threshold = known.codes(), known.settings.threshold
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            rows = known.scores(utf8(batch.column(2)))
+            rows = known.scores(utf8(batch.column(2)), codes)
             columns = [
                 batch.column(0),
                 batch.column(1),
@@ -390,10 +489,10 @@ def keep(docs: DataFrame, model: Model) -> DataFrame:
 
     def make():
         known = sent.value
-        threshold = known.settings.threshold
+        codes, threshold = known.codes(), known.settings.threshold
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            good = [r[0] < threshold for r in known.scores(utf8(batch.column(place)))]
+            good = [r[0] < threshold for r in known.scores(utf8(batch.column(place)), codes)]
             return batch.filter(pa.array(good))
 
         return step
