@@ -171,3 +171,25 @@ def test_packed_query(spark, data):
         assert pieces.offset.tolist() == (pieces.length.cumsum() - pieces.length).tolist() and pieces.length.sum() <= 2048
     fill = got.groupby("sequence_id").length.sum()
     assert got.length.sum() / sum(2048 if n & (n - 1) else n for n in fill.tolist()) > 0.97
+
+
+def test_packing_encodes_in_little_memory():
+    """A worker that lives on beside others holds tens of megabytes for a step, whatever the batch."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from threadmill.llm.common import steps, utf8
+
+    rng = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    texts = [" ".join("".join(rng.choices(letters, k=rng.randint(2, 9))) for _ in range(500)) for _ in range(2048)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    tokens = packing.WordEncoder(tokenizer_path("word_bpe_49k.json"))
+    tracemalloc.start()
+    try:
+        for some in steps([batch], packing.STEP_ROWS):
+            tokens.encode(utf8(some.column(0)))
+        assert tracemalloc.get_traced_memory()[1] < 150e6
+    finally:
+        tracemalloc.stop()

@@ -12,7 +12,7 @@ import numpy as np
 #: Widths of the matrices that words are dealt into.
 WIDTHS = (4, 6, 8, 10, 12, 14, 20, 32, 64)
 #: Symbols of one matrix at most, but for a single long word.
-CELLS = 1_000_000
+CELLS = 250_000
 NONE = np.iinfo(np.int32).max
 #: Odd factor that spreads the keys of pairs over the table.
 SPREAD = np.uint64(0x9E3779B97F4A7C15)

@@ -30,7 +30,7 @@ from .parts import Parts
 #: Parts that a worker remembers.
 CACHE_PARTS = 100_000
 #: Documents that are encoded together.
-STEP_ROWS = 2048
+STEP_ROWS = 512
 #: The first letter beyond those whose normal form is plain.
 PLAIN = "\u0250"
 #: Windows of one balanced batch: it closes between these, where the fill suits.

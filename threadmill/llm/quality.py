@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, held_out, labelled_sample, per_batch, steps, utf8
+from .common import cut, give_back, held_out, labelled_sample, per_batch, steps, utf8
 
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 #: Rows of the summed table that one task adds up at most.
@@ -28,7 +28,7 @@ FAN_IN = 256
 #: Slots in one row of the summed table.
 BLOCK = 256
 #: Entries of a worker's token cache.
-CACHE = 400_000
+CACHE = 120_000
 TOKENS_AT_ONCE = 400_000
 
 
@@ -139,6 +139,8 @@ def word_vectors(docs: DataFrame, s: Settings) -> np.ndarray:
             ],
             names=["block", "task", "sums"],
         )
+        del total, held
+        give_back()
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
         sums = np.zeros_like(np.frombuffer(rows["sums"].iloc[0], np.int64))

@@ -34,9 +34,9 @@ BLOCK = 512
 #: Terms that at least one in so many examples has are kept as whole rows.
 COMMON = 16
 #: Weight of the share of label 1 in a vote, where an equal text has 20; texts whose common terms are met together, and those that walk together.
-PRIOR, TOGETHER, WALK = 1.0, 256, 16
+PRIOR, TOGETHER, WALK = 1.0, 256, 8
 #: Bytes of texts whose terms are counted together, and words that a task remembers.
-COUNTED, WORDS = 2 << 20, 200_000
+COUNTED, WORDS = 1 << 20, 60_000
 UNKNOWN = -2
 #: Which of the first 256 characters are letters.
 LETTER = np.array([bool(WORD.match(chr(k))) for k in range(256)])
